@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, html, langid, phrases, secrets, simhash, topk
-from tessera.llm.common import durable, table
+from tessera.llm import ann, bpe, html, langid, lines, mixing, phrases, secrets, simhash, topk
+from tessera.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -25,6 +25,12 @@ def op3_additive_quantisation_ann(spark: SparkSession, sf_dir: str) -> DataFrame
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op4_line_alignment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_common_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_prefix_free_parsing_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return phrases.remove_repeats(docs, length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -40,6 +46,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
 
+def op7_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.document_rates(docs, table(spark, sf_dir, "labels"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -56,8 +67,8 @@ def op10_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_html_main_text, op3_additive_quantisation_ann, op5_prefix_free_parsing_dedup,
-    op6_secret_scan, op8_language_id, op9_byte_bpe, op10_impact_ordered_topk,
+    op1_simhash_near_dedup, op2_html_main_text, op3_additive_quantisation_ann, op4_line_alignment_dedup,
+    op5_prefix_free_parsing_dedup, op6_secret_scan, op7_soft_membership_mixing, op8_language_id, op9_byte_bpe, op10_impact_ordered_topk,
 )}
 
 ORACLE = {

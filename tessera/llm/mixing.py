@@ -5,11 +5,12 @@ table (about ``per_domain`` documents of each domain), predicts for every docume
 posterior over domains; the log odds count as those of ``evidence`` words, which keeps
 memberships soft on long texts. Rates r >= 0 then minimise
 
-    1/2 sum_d (m_d - t_d)^2 / s_d  +  ridge/2 sum_i (n_i / N) (r_i - 1)^2
+    1/2 sum_d (m_d - t_d)^2 / s_d  +  ridge/2 sum_i (n_i / N) (r_i - c_i)^2
 
 where n_i are tokens, p_id posteriors, N = sum n_i, m_d = sum_i r_i n_i p_id / N, s_d = m_d
-at r = 1, and t_d = factor_d x s_d the target. In the metric of token shares the gradient
-of r_i is sum_d (m_d - t_d) / s_d p_id + ridge (r_i - 1), its Lipschitz constant at most
+at r = 1, t_d = factor_d x s_d the target and c_i = sum_d factor_d p_id the rate a document
+would have by membership alone (also the start). In the metric of token shares the gradient
+of r_i is sum_d (m_d - t_d) / s_d p_id + ridge (r_i - c_i), its Lipschitz constant at most
 1 + ridge (the Gram matrix scaled by 1 / s_d has column sums 1), so the projected step
 1 / (1 + ridge) converges. A step is one aggregation over all documents; only the totals,
 one number a domain, reach the driver.
@@ -80,7 +81,7 @@ def memberships(docs: DataFrame, model: tuple[list[str], list[float], list[list[
     return odds.select("doc_id", "n_tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).alias("p"))
 
 
-def fit_rates(units: DataFrame, factors: list[float], ridge: float = 0.02, steps: int = 40, tolerance: float = 1e-4) -> tuple[DataFrame, list[float], list[float]]:
+def fit_rates(units: DataFrame, factors: list[float], ridge: float = 0.02, steps: int = 40, tolerance: float = 1e-5) -> tuple[DataFrame, list[float], list[float]]:
     """``units`` (n_tokens, p) with a ``rate`` column; shares reached and shares wanted."""
     k = len(factors)
     cells = [F.element_at("p", d + 1) for d in range(k)]
@@ -90,16 +91,17 @@ def fit_rates(units: DataFrame, factors: list[float], ridge: float = 0.02, steps
         row = units.agg(*[F.sum(rate * F.col("n_tokens") * c / float(n_all)).alias(f"m{d}") for d, c in enumerate(cells)]).first()
         return [float(row[d] or 0.0) for d in range(k)]
 
-    rate = F.lit(1.0)
     if not n_all or not k:
-        return units.withColumn("rate", rate), [], []
-    start = now = shares(rate)
+        return units.withColumn("rate", F.lit(1.0)), [], []
+    centre = sum((F.lit(float(f)) * c for f, c in zip(factors, cells)), F.lit(0.0))
+    rate = centre
+    start, now = shares(F.lit(1.0)), shares(rate)
     goal = [f * s for f, s in zip(factors, start)]
     eta = 1.0 / (1.0 + ridge)
     for _ in range(steps):
         pull = [(m - t) / s if s > 0 else 0.0 for m, t, s in zip(now, goal, start)]
         push = sum((F.lit(eta * g) * c for g, c in zip(pull, cells)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.lit(1.0 - eta * ridge) * rate + F.lit(eta * ridge) - push)
+        rate = F.greatest(F.lit(0.0), F.lit(1.0 - eta * ridge) * rate + F.lit(eta * ridge) * centre - push)
         was, now = now, shares(rate)
         if max(abs(a - b) for a, b in zip(was, now)) < tolerance:
             break

@@ -1,9 +1,12 @@
 """Soft-membership mixing, in DataFrame operations throughout.
 
-A naive Bayes classifier over hashed words, learned from a bounded sample of the labelled
-table (about ``per_domain`` documents of each domain), predicts for every document the
-posterior over domains; the log odds count as those of ``evidence`` words, which keeps
-memberships soft on long texts. Rates r >= 0 then minimise
+A Bernoulli naive Bayes classifier over hashed words, learned from a bounded sample of the
+labelled table (about ``per_domain`` documents of each domain), predicts for every document
+the posterior over domains. Only buckets count that a share ``support`` of a domain's
+documents hold and whose document frequency there is more than ``sigmas`` deviations above
+what the whole sample lets expect; frequencies are shrunk to that expectation, and what is
+absent counts as well as what is present. Rates
+r >= 0 then minimise
 
     1/2 sum_d (m_d - t_d)^2 / s_d  +  ridge/2 sum_i (n_i / N) (r_i - c_i)^2
 
@@ -15,7 +18,7 @@ of r_i is sum_d (m_d - t_d) / s_d p_id + ridge (r_i - c_i), its Lipschitz consta
 1 / (1 + ridge) converges. A step is one aggregation over all documents; only the totals,
 one number a domain, reach the driver.
 
-Rows that share an id form one unit with one rate. Null or empty text has no tokens and
+Rows that share an id form one unit with one rate, the words of all and the longest's tokens. Null or empty text has no tokens and
 takes the prior. Labels with a null part are not used. Without labels every rate is 1.
 """
 
@@ -28,9 +31,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import durable
 
-BUCKETS, MAX_DOMAINS = 4096, 16
+BUCKETS, MAX_DOMAINS = 1 << 16, 16
+#: Where a text is cut: at white space, and where a word meets what is no letter.
+TOKEN = r"\s+|(?<=\p{L})(?=[^\p{L}\s])"
 #: Tokens wanted of each labelled domain (quality, toxic), as a factor of what is there.
-FACTORS = {"q1_t0": 1.05, "q0_t0": 0.5, "q1_t1": 0.0, "q0_t1": 0.0}
+FACTORS = {"q1_t0": 1.1, "q0_t0": 0.5, "q1_t1": 0.0, "q0_t1": 0.0}
+Model = tuple[list[str], list[float], list[dict[int, float]]]
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -40,48 +46,66 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 
 def _words(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per word with its hash bucket; rows without words give one null word."""
-    words = docs.select(*keep, F.explode_outer(F.split(F.lower("text"), r"\s+")).alias("w"))
-    return words.select(*keep, F.when(F.col("w") != "", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")).alias("b"))
-
-
-def train(docs: DataFrame, labels: DataFrame, per_domain: int = 1500) -> tuple[list[str], list[float], list[list[float]]]:
-    """Domain names, log priors, and log weights by domain and bucket."""
+    """One row per different word of a row with its hash bucket and the row's token count;
+    rows without words give one null bucket."""
+    split = docs.select(*keep, F.split(F.lower("text"), TOKEN).alias("w"))
+    # Splitting leaves an empty string before leading white space and after trailing.
+    blank = F.when(F.element_at("w", 1) == "", 1).otherwise(0) + F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
+    tokens = F.coalesce(F.size("w") - blank, F.lit(0))
+    each = split.select(*keep, tokens.cast("long").alias("n"), F.explode_outer(F.array_distinct("w")).alias("w"))
+    return each.select(*keep, "n", F.when(F.col("w") != "", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")).alias("b"))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_domain: int = 1500, sigmas: float = 4.0, support: float = 0.02, shrink: float = 2.0) -> Model:
+    """Domain names, their log odds when nothing is present, and what each present bucket adds."""
     named = domains_of(labels)
-    n = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).limit(MAX_DOMAINS + 1).collect()}
-    if len(n) > MAX_DOMAINS:
+    total = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).limit(MAX_DOMAINS + 1).collect()}
+    if len(total) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
-    names = sorted(n)
+    names = sorted(total)
     if not names:
         return [], [], []
-    rate = F.coalesce(*[F.when(F.col("domain") == d, F.lit(min(1.0, per_domain / n[d]))) for d in names])
+    rate = F.coalesce(*[F.when(F.col("domain") == d, F.lit(min(1.0, per_domain / total[d]))) for d in names])
     draw = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = docs.select("doc_id", "text").join(named.filter(draw < rate), "doc_id")
-    counts = [[1.0] * BUCKETS for _ in names]
-    at = {d: i for i, d in enumerate(names)}
-    # At most domains x BUCKETS rows, whatever the size of the corpus.
-    for r in _words(sample, ["domain"]).filter("b is not null").groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[at[r["domain"]]][r["b"]] += r["n"]
-    total = sum(n.values())
-    weights = [[math.log(x / sum(row)) for x in row] for row in counts]
-    return names, [math.log(n[d] / total) for d in names], weights
-
-
-def memberships(docs: DataFrame, model: tuple[list[str], list[float], list[list[float]]], evidence: int = 64) -> DataFrame:
+    chosen = named.filter(draw < rate)
+    # The draw keeps about per_domain ids of each domain; it is broadcast only if it did.
+    if chosen.count() <= 2 * per_domain * len(names):
+        chosen = F.broadcast(chosen)
+    present = durable(_words(docs.select("doc_id", "text").join(chosen, "doc_id"), ["doc_id", "domain"]).select("doc_id", "domain", "b").distinct())
+    size = {r["domain"]: r["n"] for r in present.groupBy("domain").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    every = sum(size.values())
+    if not every:
+        return [], [], []
+    df = [F.count_if(F.col("domain") == d).cast("double").alias(f"f{i}") for i, d in enumerate(names)]
+    by_bucket = present.filter("b is not null").groupBy("b").agg(*df)
+    share = sum(F.col(f"f{i}") for i in range(len(names))) / float(every)
+    out, keep = [], F.lit(False)
+    for i, d in enumerate(names):
+        expected = share * float(size.get(d, 0))
+        keep = keep | ((F.col(f"f{i}") - expected > sigmas * F.sqrt(expected + 1.0)) & (F.col(f"f{i}") >= support * size.get(d, 0)))
+        own = F.least(F.lit(0.99), share * (F.col(f"f{i}") + shrink) / (expected + shrink))
+        top = F.least(F.lit(0.99), share)
+        out += [F.ln(own / top).alias(f"p{i}"), F.ln((1.0 - own) / (1.0 - top)).alias(f"a{i}")]
+    # Rows: at most one for each bucket, and only telling ones.
+    telling = by_bucket.filter(keep).select("b", *out).collect()
+    base = [math.log(total[d] / sum(total.values())) + sum(r[f"a{i}"] for r in telling) for i, d in enumerate(names)]
+    return names, base, [{r["b"]: r[f"p{i}"] - r[f"a{i}"] for r in telling} for i in range(len(names))]
+
+
+def memberships(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, p array) per id."""
-    names, prior, weights = model
-    middle = [sum(c) / len(c) for c in zip(*weights)]
-    table = lambda row: F.expr(f"cast(split('{','.join(f'{x - m:.6f}' for x, m in zip(row, middle))}', ',') as array<double>)")
+    names, base, weights = model
+    listed = lambda w: ",".join(f"{w[b]:.6f}" if b in w else "0" for b in range(BUCKETS))
+    table = lambda w: F.expr(f"cast(split('{listed(w)}', ',') as array<double>)")
     words = _words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    sums = words.groupBy("doc_id").agg(F.count("b").alias("n_tokens"), *[F.sum(F.get(table(row), F.col("b"))).alias(f"s{i}") for i, row in enumerate(weights)])
-    scale = F.least(F.lit(1.0), F.lit(float(evidence)) / F.greatest(F.col("n_tokens"), F.lit(1)))
-    logits = F.array(*[F.lit(prior[i]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * scale for i in range(len(names))])
+    sums = words.groupBy("doc_id").agg(F.max("n").alias("n_tokens"), *[F.sum(F.get(table(w), F.col("b"))).alias(f"s{i}") for i, w in enumerate(weights)])
+    logits = F.array(*[F.lit(base[i]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(len(names))]) if names else F.array().cast("array<double>")
     top = sums.select("doc_id", "n_tokens", logits.alias("z")).withColumn("m", F.array_max("z"))
     odds = top.select("doc_id", "n_tokens", F.transform("z", lambda x: F.exp(x - F.col("m"))).alias("e"))
     return odds.select("doc_id", "n_tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)).alias("p"))
 
 
-def fit_rates(units: DataFrame, factors: list[float], ridge: float = 0.02, steps: int = 40, tolerance: float = 1e-5) -> tuple[DataFrame, list[float], list[float]]:
+def fit_rates(units: DataFrame, factors: list[float], ridge: float = 0.02, steps: int = 25, tolerance: float = 1e-4) -> tuple[DataFrame, list[float], list[float]]:
     """``units`` (n_tokens, p) with a ``rate`` column; shares reached and shares wanted."""
     k = len(factors)
     cells = [F.element_at("p", d + 1) for d in range(k)]

@@ -65,7 +65,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return words
 
 
-def fit(rows: DataFrame, dim: int, books: int = 8, entries: int = 256, sample: int = 12000, rounds: int = 8) -> Codebooks:
+def fit(rows: DataFrame, dim: int, books: int = 16, entries: int = 256, sample: int = 12000, rounds: int = 8) -> Codebooks:
     """Learn codebooks on a bounded sample of usable rows."""
     n = rows.count()
     if not n:
@@ -97,7 +97,7 @@ def index(rows: DataFrame, dim: int, books: Codebooks) -> DataFrame:
     return durable(rows.mapInArrow(run, "vec_id long, v array<double>, codes binary, norm double"))
 
 
-def search(indexed: DataFrame, queries: DataFrame, dim: int, books: Codebooks, k: int = 10, shortlist: int = 64, block: int = 2048) -> DataFrame:
+def search(indexed: DataFrame, queries: DataFrame, dim: int, books: Codebooks, k: int = 10, shortlist: int = 512, block: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): nearest candidates by exact Euclidean distance."""
     spark = indexed.sparkSession
     parts = []

@@ -19,8 +19,9 @@ from tessera.operators.graph import BUCKETS, SPATIAL, TEMPORAL
 class Forest:
     """Union-find over regions with mean descriptors."""
 
-    def __init__(self, means: np.ndarray):
+    def __init__(self, means: np.ndarray, pinned: list[int] | None = None):
         n = len(means)
+        self.pinned = list(pinned) if pinned is not None else [-1] * n
         self.up = list(range(n))
         self.size = [1] * n
         self.mean = [tuple(m) for m in means.tolist()]
@@ -43,8 +44,54 @@ class Forest:
         n = self.size[keep] + self.size[gone]
         self.mean[keep] = tuple((p * self.size[keep] + q * self.size[gone]) / n for p, q in zip(self.mean[keep], self.mean[gone]))
         self.size[keep], self.up[gone] = n, keep
+        self.pinned[keep] = max(self.pinned[keep], self.pinned[gone])
         return keep
 
+    def loosen(self, a: int, b: int, share: float = 0.3) -> None:
+        """Free the much smaller of two regions that drifted apart, else both."""
+        small, large = (a, b) if self.size[a] < self.size[b] else (b, a)
+        self.pinned[small] = -1
+        if self.size[small] >= share * self.size[large]:
+            self.pinned[large] = -1
+
+
+def join_pinned(forest: Forest, split: float = 0.15, virtual: frozenset[int] = frozenset()) -> None:
+    """One representative per constraint before the greedy pass. A member whose mean is too
+    far from the representative is freed instead; virtual members always join."""
+    heads: dict[int, int] = {}
+    for i in range(len(forest.up)):
+        c = forest.pinned[i]
+        if c < 0 or forest.find(i) != i:
+            continue
+        head = heads.get(c)
+        if head is None or forest.pinned[head] != c:
+            heads[c] = i
+        elif i not in virtual and head not in virtual and forest.distance(head, i) > split:
+            forest.loosen(head, i)
+        else:
+            heads[c] = forest.merge(head, i)
+
+
+def suppress_thin(ids: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """A pixel with at most two N8 neighbours of its own id takes the id that two or more of
+    its N4 neighbours share (the smallest such); repeated until nothing changes."""
+    out = ids.copy()
+    h, w = out.shape
+    for _ in range(rounds):
+        changed = False
+        for y in range(h):
+            for x in range(w):
+                block = out[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
+                if (block == out[y, x]).sum() - 1 > 2:
+                    continue
+                cross = [out[b, a] for b, a in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= b < h and 0 <= a < w]
+                twice = sorted({v for v in cross if cross.count(v) >= 2 and v != out[y, x]})
+                if twice:
+                    out[y, x], changed = twice[0], True
+        if not changed:
+            break
+    return out
+
 
 def grid_edges(frames: np.ndarray, index: dict, colours: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(bucket, list, sequence, ...) sorted edges of a chunk: (bucket, list, seq, a, b, weight)."""
@@ -70,35 +117,60 @@ def grid_edges(frames: np.ndarray, index: dict, colours: np.ndarray) -> list[tup
     return [(int(bucket[k]), int(arr[k, 0]), int(arr[k, 1]), int(arr[k, 2]), int(arr[k, 3]), float(weight[k])) for k in order]
 
 
-def merge_edges(forest: Forest, edges, min_size: int, threshold: float = 0.05, force: float = 0.001) -> list[tuple[int, int]]:
-    """Run the greedy pass; the edges that stay between regions."""
+def merge_edges(forest: Forest, edges, min_size: int, threshold: float = 0.05, force: float = 0.001, split: float = 0.15,
+                counts: dict[str, int] | None = None) -> list[tuple[int, int]]:
+    """Run the greedy pass; the edges that stay between regions.
+
+    Two regions pinned to different constraints never merge; two of one constraint merge
+    unless they drifted apart. ``counts`` gathers regular, small and pinned merges.
+    """
     left = []
+    counts = {} if counts is None else counts
+
+    def tally(kind: str) -> None:
+        counts[kind] = counts.get(kind, 0) + 1
+
     for _, _, _, a, b, w in edges:
         a, b = forest.find(a), forest.find(b)
         if a == b:
             continue
+        if forest.pinned[a] >= 0 and forest.pinned[b] >= 0:
+            if forest.pinned[a] == forest.pinned[b]:
+                if forest.distance(a, b) <= split:
+                    forest.merge(a, b)
+                    tally("pinned")
+                    continue
+                forest.loosen(a, b)
+            left.append((a, b))
+            continue
         if not forest.closed[a] and not forest.closed[b]:
             d = forest.distance(a, b)
             if d < threshold or (w < force and d < 0.2):
                 forest.merge(a, b)
+                tally("regular")
                 continue
             forest.closed[a] = forest.closed[b] = True
         if min(forest.size[a], forest.size[b]) < min_size:
             forest.merge(a, b)
+            tally("small")
         else:
             left.append((a, b))
     return left
 
 
 def segment_voxels(voxels: DataFrame, width: int, height: int, min_size: int = 6) -> DataFrame:
-    """(chunk_id, node, rep): rep is the smallest node of the region."""
+    """(chunk_id, node, rep): rep is the smallest node of the region. A ``constr`` column,
+    -1 where free, pins voxels to regions of the chunk before."""
+    pinned = "constr" in voxels.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame", "y", "x"])
         at = pdf[["frame", "y", "x"]].to_numpy()
         colours = pdf[["c0", "c1", "c2"]].to_numpy(float)
         index = {tuple(k): i for i, k in enumerate(at.tolist())}
-        forest = Forest(colours)
+        forest = Forest(colours, pdf["constr"].tolist() if pinned else None)
+        if pinned:
+            join_pinned(forest)
         merge_edges(forest, grid_edges(at, index, colours), min_size)
         node = at[:, 0].astype(np.int64) * (width * height) + at[:, 1] * width + at[:, 2]
         low: dict[int, int] = {}

@@ -82,3 +82,39 @@ def test_cheapest_first_counts_and_ties():
     assert len(set(rep.values())) == 10 - int(10 * (1 - 0.8))
     assert len(set(kernels.cheapest_first(nodes, edges, 0.0).values())) == 1
     assert kernels.cheapest_first({1: (1, 0.0), 2: (1, 0.0)}, [(1, 2, 0.0)], 0.4) == {1: 2, 2: 2}
+
+
+def forest_of(values, pins):
+    return kernels.Forest(np.array([[v] * 3 for v in values], float), pins)
+
+
+def test_pinned_regions():
+    f = forest_of([0.1, 0.1, 0.5, 0.5], [7, 7, 9, -1])
+    kernels.join_pinned(f)
+    assert f.find(0) == f.find(1) and f.find(2) != f.find(0)
+    counts: dict = {}
+    left = kernels.merge_edges(f, [(0, 0, 0, 1, 2, 0.0), (0, 0, 1, 2, 3, 0.0)], 1, counts=counts)
+    assert left == [(f.find(0), 2)] and f.find(2) == f.find(3) and f.pinned[f.find(3)] == 9 and counts == {"regular": 1}
+
+
+def test_drifted_members_are_freed():
+    f = forest_of([0.1, 0.1, 0.1, 0.1, 0.9], [3, 3, 3, 3, 3])
+    kernels.join_pinned(f)
+    assert len({f.find(i) for i in range(4)}) == 1 and f.find(4) != f.find(0)
+    assert f.pinned[4] == -1 and f.pinned[f.find(0)] == 3
+    g = forest_of([0.1, 0.9], [3, 3])
+    kernels.join_pinned(g)
+    assert g.pinned == [-1, -1]
+    v = forest_of([0.1, 0.9], [3, 3])
+    kernels.join_pinned(v, virtual=frozenset({1}))
+    assert v.find(0) == v.find(1)
+
+
+def test_thin_structures():
+    ids = np.zeros((5, 5), int)
+    ids[:, 2] = 1
+    done = kernels.suppress_thin(ids)
+    assert (done == 0).all()
+    block = np.zeros((6, 6), int)
+    block[2:5, 2:5] = 1
+    assert (kernels.suppress_thin(block)[2:5, 2:5] == 1).sum() >= 5

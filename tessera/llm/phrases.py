@@ -162,7 +162,7 @@ def _emit(length: int):
 
 
 def _spans(length: int, hot: bool):
-    """mapInArrow (doc, t, todo) -> the bytes of listed phrases, or the digest of each of
+    """mapInArrow (doc, id, t, todo) -> the bytes of listed phrases, or the digest of each of
     their windows for triggers with very many phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +170,8 @@ def _spans(length: int, hot: bool):
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 columns: list[list] = [[], [], [], []]
-                for doc, text, todo in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    for x in todo:
+                for doc, text, todo in zip(*(part.column(c).to_pylist() for c in (0, 2, 3))):
+                    for x in todo or ():
                         start, n = x["pos"] >> SPAN_BITS, (x["pos"] & ((1 << SPAN_BITS) - 1)) + 1
                         if not hot:
                             for c, v in zip(columns, (x["trigger"], doc, x["pos"], text[start : start + n + length - 1])):
@@ -282,7 +282,7 @@ def _cut(length: int, keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100,
-                   group_rows: int = 2048, keep_text: bool = False) -> DataFrame:
+                   group_rows: int = 512, keep_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and either the
     removed ``spans`` or, with ``keep_text``, the bytes left in ``kept``.
 
@@ -306,10 +306,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.collect_list(F.when(F.col("trigger").isNull(), F.col("pos"))).alias("clean"),
         F.collect_list(F.when(F.col("trigger").isNotNull(), F.struct("pos", "trigger", "hot"))).alias("todo"),
     )
+    # The three readers of ``whole`` ask for the same columns of the texts, so that the
+    # shuffle of the texts is made once and used again.
     whole = rows.join(of_doc, "doc", "left")
     pick = lambda hot: F.filter("todo", lambda x: x["hot"] if hot else ~x["hot"])
-    open_cold = whole.select("doc", "t", pick(False).alias("todo")).filter("size(todo) > 0")
-    open_hot = whole.select("doc", "t", pick(True).alias("todo")).filter("size(todo) > 0")
+    # No filter here: it would turn the outer join into an inner one with another scan.
+    text_of = lambda hot: F.when(F.size(pick(hot)) > 0, F.col("t")).alias("t")
+    open_cold = whole.select("doc", "id", text_of(False), pick(False).alias("todo"))
+    open_hot = whole.select("doc", "id", text_of(True), pick(True).alias("todo"))
     cold = (
         open_cold.mapInArrow(_spans(length, False), "trigger long, doc long, pos long, span binary")
         .repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_resolve(length), "doc long, pos long")

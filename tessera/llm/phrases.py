@@ -282,7 +282,7 @@ def _cut(length: int, keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100,
-                   group_rows: int = 512, keep_text: bool = False) -> DataFrame:
+                   group_rows: int = 32, keep_text: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and either the
     removed ``spans`` or, with ``keep_text``, the bytes left in ``kept``.
 

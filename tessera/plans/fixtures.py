@@ -91,7 +91,7 @@ def region_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9: suppliers that share an order, weighted by how far their discounts are."""
     li = table(spark, sf_dir, "lineitem")
     node = li.groupBy("l_suppkey").agg(F.avg("l_discount").alias("m"))
-    some = li.filter(F.col("l_orderkey") % 50 == 0).select("l_orderkey", "l_suppkey").distinct()
+    some = li.select("l_orderkey", "l_suppkey").distinct()
     pair = some.alias("a").join(some.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey"))).select(
         F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).distinct()
     m = lambda k, n: node.select(F.col("l_suppkey").alias(k), F.col("m").alias(n))

@@ -15,3 +15,13 @@ def test_region_graph_sees_every_order(spark, tmp_path):
     got = [tuple(r) for r in fixtures.region_graph(spark, str(tmp_path)).select("src", "dst").collect()]
     assert sorted(got) == want == [(1, 2), (1, 4), (2, 3), (3, 4)]
     assert [r["id"] for r in catalog.queries()["d09_isolated_regions"](spark, str(tmp_path)).collect()] == [5]
+
+
+def test_boxes_cross_beyond_the_first_ids(spark, tmp_path):
+    rows = [(i, [0.037 * (i % 17) - 0.3, 0.041 * (i % 23) - 0.4]) for i in range(100, 160)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    box = {i: (x, y, x + 0.2, y + 0.1) for i, (x, y) in rows}
+    cross = lambda h, v: any(h[0] <= x <= h[2] and v[1] <= y <= v[3] for x in (v[0], v[2]) for y in (h[1], h[3]))
+    want = {(i, j) for i in box for j in box if i < j and (cross(box[i], box[j]) or cross(box[j], box[i]))}
+    got = {(r["a"], r["b"]) for r in catalog.queries()["e14_boxes_cross"](spark, str(tmp_path)).collect()}
+    assert got == want and any(i >= 120 for i, _ in want)

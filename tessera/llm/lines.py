@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
 Equal texts are one class; its document with the smallest id is the original. Classes
-that share lines are paired through line hashes: a *rare* line (held by at most
-``rare`` classes) pairs each holder with the one before it and with the first; a more
-frequent line pairs each holder with the first only, so no line makes more than two pairs
-per holder and none is ignored. Pairs that share fewer than ``min_block`` characters go.
+are paired through hashes of *windows*: for each line the shortest run of whole lines that
+starts, and the shortest that ends, with it and has ``min_block`` characters, short lines
+included. Each line of a block that two classes share lies in a window inside that block,
+so both have that window. Each holder of a window pairs with its first holder; where at
+most ``rare`` classes hold it, also with the holder before. No window makes more than two
+pairs per holder and none is ignored.
 Each pair is aligned by patience diff (lines unique on both sides anchor the longest
 increasing run; the gaps are aligned again; equal ends are matched), and every run of
 aligned lines of at least ``min_block`` characters is deleted from the later document. A
@@ -20,6 +22,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import durable
 
 LAST = (1 << 63) - 1
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
 
 
 def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -101,8 +106,36 @@ def _align(min_block: int):
     return run
 
 
-def mark_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_line: int = 20,
-                      min_block: int = 100, rare: int = 8) -> DataFrame:
+def block_windows(lines: np.ndarray, sizes: np.ndarray, min_block: int) -> np.ndarray:
+    """Distinct hashes of the shortest windows of min_block characters from and up to each line."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    every = np.arange(len(ends))
+    stop = np.searchsorted(ends, ends + min_block, "left")
+    start = np.searchsorted(ends, ends - min_block, "right") - 1
+    first = np.concatenate([every[stop < len(ends)], start[start >= 0]])
+    last = np.concatenate([stop[stop < len(ends)], every[start >= 0]])
+    power = np.full(len(lines) + 1, BASE, np.uint64)
+    back = np.full(len(lines) + 1, UNBASE, np.uint64)
+    power[0] = back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.astype(np.int64).view(np.uint64) * np.cumprod(power)[:-1], dtype=np.uint64)])
+    found = (sums[last] - sums[first]) * np.cumprod(back)[first] + (last - first).astype(np.uint64)
+    return np.unique(found).view(np.int64)
+
+
+def _windows(min_block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                found = [block_windows(a.values.to_numpy(), b.values.to_numpy(), min_block) for a, b in zip(part.column(2), part.column(3))]
+                counts = [len(x) for x in found]
+                own = [pa.array(np.repeat(part.column(c).to_numpy(), counts)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *own], names=["run", "first", "code"])
+
+    return run
+
+
+def mark_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_block: int = 100, rare: int = 8) -> DataFrame:
     """(``id``, ``key``, ``n_lines``, ``gone``): distinct (id, text digest) with the numbers
     of the lines to delete; ``gone`` is null where nothing goes."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -112,27 +145,24 @@ def mark_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         F.transform(split, lambda x: F.xxhash64(x)).alias("lines"), F.transform(split, lambda x: F.length(x)).alias("sizes"),
     ))
     classes = durable(rows.groupBy("key").agg(F.min("id").alias("first"), F.min(F.struct("lines", "sizes")).alias("seq")).select("key", "first", "seq.lines", "seq.sizes"))
+    coded = classes.withColumn("code", F.conv(F.substring("key", 1, 15), 16, 10).cast("long"))
     held = (
-        classes.select("key", "first", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
-        .filter(F.col("x.sizes") >= min_line)
-        .groupBy(F.col("x.lines").alias("line"), "key").agg(F.min("first").alias("first"), F.sum("x.sizes").alias("size"))
-        .select("line", F.struct("first", "key").alias("at"), "size")
-    )
-    lines = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head")).filter("n > 1")
-    shared = durable(held.join(lines, "line"))
-    to_head = shared.filter("at <> head").select(F.col("at.key").alias("later"), F.col("head.key").alias("earlier"), "line", "size")
-    few = shared.filter(F.col("n") <= rare).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("m"))
-    step = F.transform(F.sequence(F.lit(2), F.size("m")), lambda i: F.struct(
-        F.element_at("m", i.cast("int"))["at"]["key"].alias("later"), F.element_at("m", (i - 1).cast("int"))["at"]["key"].alias("earlier"), F.element_at("m", i.cast("int"))["size"].alias("size")))
-    to_previous = few.select("line", F.explode(step).alias("p")).select("p.later", "p.earlier", "line", "p.size")
-    pairs = (
-        to_head.unionByName(to_previous).groupBy("later", "earlier", "line").agg(F.max("size").alias("size"))
-        .groupBy("later", "earlier").agg(F.sum("size").alias("size")).filter(F.col("size") >= min_block)
+        coded.filter(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x) >= min_block)
+        .select("first", "code", "lines", "sizes").mapInArrow(_windows(min_block), "run long, first long, code long")
+        .select("run", F.struct("first", "code").alias("at"))
     )
-    later = classes.select(F.col("key").alias("later"), "lines", "sizes")
-    earlier = classes.select(F.col("key").alias("earlier"), F.col("lines").alias("before"))
+    runs = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head")).filter("n > 1")
+    shared = durable(held.join(runs, "run"))
+    to_head = shared.filter("at <> head").select(F.col("at.code").alias("later"), F.col("head.code").alias("earlier"))
+    few = shared.filter((F.col("n") > 2) & (F.col("n") <= rare)).groupBy("run").agg(F.array_sort(F.collect_list("at")).alias("m"))
+    step = F.transform(F.sequence(F.lit(3), F.size("m")), lambda i: F.struct(
+        F.element_at("m", i.cast("int"))["code"].alias("later"), F.element_at("m", (i - 1).cast("int"))["code"].alias("earlier")))
+    to_previous = few.select(F.explode(step).alias("p")).select("p.later", "p.earlier")
+    pairs = to_head.unionByName(to_previous).distinct()
+    later = coded.select(F.col("code").alias("later"), "key", "lines", "sizes")
+    earlier = coded.select(F.col("code").alias("earlier"), F.col("lines").alias("before"))
     gone = (
-        pairs.join(later, "later").join(earlier, "earlier").select("later", "lines", "sizes", "before")
+        pairs.join(later, "later").join(earlier, "earlier").select("key", "lines", "sizes", "before")
         .mapInArrow(_align(min_block), "key string, gone array<int>")
         .groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     )

@@ -3,17 +3,24 @@
 Equal texts are one class; its document with the smallest id is the original. Classes
 are paired through hashes of *windows*: for each line the shortest run of whole lines that
 starts, and the shortest that ends, with it and has ``min_block`` characters, short lines
-included. Each line of a block that two classes share lies in a window inside that block,
-so both have that window. Each holder of a window pairs with its first holder; where at
-most ``rare`` classes hold it, also with the holder before. No window makes more than two
-pairs per holder and none is ignored.
+included. Every line of a block that two classes share lies in such a window inside that
+block, whether its lines are rare or not. Each holder of a window pairs with its first
+holder; whatever an earlier class shares, the first holder of each of its windows shares
+too, so no other pairs are needed and none is ignored, however frequent its lines are.
+
 Each pair is aligned by patience diff (lines unique on both sides anchor the longest
-increasing run; the gaps are aligned again; equal ends are matched), and every run of
-aligned lines of at least ``min_block`` characters is deleted from the later document. A
-later copy of a whole text is one such run. Order is (id, text digest).
+increasing run; the gaps are aligned again; equal ends are matched). Blocks that stand in
+another order, and blocks whose lines repeat too often to anchor, are left over by that;
+they are aligned at the windows that the earlier text also holds, and grown both ways.
+Every run of aligned lines of at least ``min_block`` characters is deleted from the later
+document. So a line goes if and only if it lies in a run of whole lines of ``min_block``
+characters that an earlier document has. A later copy of a whole text is one such run.
+Order is (id, text digest); lines are compared by 64-bit hashes.
 
 Null text counts as empty and stays null; null ids sort after all others; rows that
-repeat both id and text are treated alike; other columns pass through.
+repeat both id and text are treated alike; very long texts are aligned whole; an empty
+table gives an empty result; other columns pass through, but ``n_lines`` and ``n_removed``
+are replaced.
 """
 
 from __future__ import annotations
@@ -77,21 +84,45 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], sizes: list[int], b: list[int], min_block: int) -> list[int]:
-    """Line numbers of a in aligned runs of at least min_block characters."""
-    gone: list[int] = []
+def _runs(pairs: list[tuple[int, int]], sizes: list[int], min_block: int) -> set[int]:
+    """Line numbers of a in runs of consecutive pairs of at least min_block characters."""
+    gone: set[int] = set()
     run: list[int] = []
     was = (-2, -2)
-    for pair in [*patience(a, b), (-9, -9)]:
+    for pair in [*pairs, (-9, -9)]:
         if pair != (was[0] + 1, was[1] + 1):
             if sum(sizes[i] for i in run) >= min_block:
-                gone += run
+                gone.update(run)
             run = []
         run.append(pair[0])
         was = pair
     return gone
 
 
+def common_blocks(a: list[int], sizes: list[int], b: list[int], min_block: int) -> list[int]:
+    """Line numbers of a in blocks of at least min_block characters that b has: those that
+    patience diff aligns, then those that it leaves over."""
+    gone = _runs(patience(a, b), sizes, min_block)
+    size_of = dict(zip(a, sizes))
+    held = size_of.keys() & set(b)
+    if sum(n for i, (x, n) in enumerate(zip(a, sizes)) if x in held and i not in gone) == 0 or sum(n for x, n in zip(a, sizes) if x in held) < min_block:
+        return sorted(gone)
+    # A line that only b has counts as a whole block, so no window of a can look like its own.
+    there = windows(np.array(b, np.int64), np.array([size_of.get(x, min_block) for x in b], np.int64), min_block)
+    at = dict(zip(there[2][::-1].tolist(), there[0][::-1].tolist()))
+    for first, last, run in zip(*(x.tolist() for x in windows(np.array(a, np.int64), np.array(sizes, np.int64), min_block))):
+        j = at.get(run)
+        if j is None or gone.issuperset(range(first, last)) or a[first:last] != b[j : j + last - first]:
+            continue
+        i, end = first, last
+        while i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        while end < len(a) and j + end - i < len(b) and a[end] == b[j + end - i]:
+            end += 1
+        gone.update(range(i, end))
+    return sorted(gone)
+
+
 def _align(min_block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +137,9 @@ def _align(min_block: int):
     return run
 
 
-def block_windows(lines: np.ndarray, sizes: np.ndarray, min_block: int) -> np.ndarray:
-    """Distinct hashes of the shortest windows of min_block characters from and up to each line."""
+def windows(lines: np.ndarray, sizes: np.ndarray, min_block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line after the last, and hash of the shortest windows of min_block
+    characters from and up to each line."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
     every = np.arange(len(ends))
     stop = np.searchsorted(ends, ends + min_block, "left")
@@ -119,7 +151,12 @@ def block_windows(lines: np.ndarray, sizes: np.ndarray, min_block: int) -> np.nd
     power[0] = back[0] = 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.astype(np.int64).view(np.uint64) * np.cumprod(power)[:-1], dtype=np.uint64)])
     found = (sums[last] - sums[first]) * np.cumprod(back)[first] + (last - first).astype(np.uint64)
-    return np.unique(found).view(np.int64)
+    return first, last, found.view(np.int64)
+
+
+def block_windows(lines: np.ndarray, sizes: np.ndarray, min_block: int) -> np.ndarray:
+    """Distinct hashes of the windows of a text."""
+    return np.unique(windows(lines, sizes, min_block)[2])
 
 
 def _windows(min_block: int):
@@ -135,7 +172,7 @@ def _windows(min_block: int):
     return run
 
 
-def mark_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_block: int = 100, rare: int = 8) -> DataFrame:
+def mark_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_block: int = 100) -> DataFrame:
     """(``id``, ``key``, ``n_lines``, ``gone``): distinct (id, text digest) with the numbers
     of the lines to delete; ``gone`` is null where nothing goes."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -151,14 +188,11 @@ def mark_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         .select("first", "code", "lines", "sizes").mapInArrow(_windows(min_block), "run long, first long, code long")
         .select("run", F.struct("first", "code").alias("at"))
     )
-    runs = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head")).filter("n > 1")
-    shared = durable(held.join(runs, "run"))
-    to_head = shared.filter("at <> head").select(F.col("at.code").alias("later"), F.col("head.code").alias("earlier"))
-    few = shared.filter((F.col("n") > 2) & (F.col("n") <= rare)).groupBy("run").agg(F.array_sort(F.collect_list("at")).alias("m"))
-    step = F.transform(F.sequence(F.lit(3), F.size("m")), lambda i: F.struct(
-        F.element_at("m", i.cast("int"))["code"].alias("later"), F.element_at("m", (i - 1).cast("int"))["code"].alias("earlier")))
-    to_previous = few.select(F.explode(step).alias("p")).select("p.later", "p.earlier")
-    pairs = to_head.unionByName(to_previous).distinct()
+    # Cut here, so that the join below meets rows straight from shuffles and a window that
+    # very many classes hold can be split over tasks.
+    runs = durable(held.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head")).filter("n > 1").select("run", "head"))
+    shared = held.join(runs, "run").filter("at <> head")
+    pairs = shared.select(F.col("at.code").alias("later"), F.col("head.code").alias("earlier")).distinct()
     later = coded.select(F.col("code").alias("later"), "key", "lines", "sizes")
     earlier = coded.select(F.col("code").alias("earlier"), F.col("lines").alias("before"))
     gone = (
@@ -173,21 +207,29 @@ def mark_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         "id", "key", "n_lines", F.when(whole, every).when(F.col("id") == F.col("first"), F.col("gone")).alias("gone"))
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """``docs`` with common blocks deleted from ``text``, and ``n_lines``, ``n_removed``."""
+def _without_blocks(docs: DataFrame, id_col: str, text: str, **more) -> DataFrame:
+    """``docs`` with common blocks deleted, and ``__n_lines`` and ``__n_removed``."""
     marks = mark_common_lines(docs, id_col, text, **more).select(
-        F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("n_lines").cast("long").alias("n_lines"), F.col("gone").alias("__gone"))
+        F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("n_lines").cast("long").alias("__n_lines"), F.col("gone").alias("__gone"))
     rows = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("__key", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.col("__n_lines").cast("int") - 1), "__gone")
+    # The split text is bound to a variable, so that it is made once and not for every line.
+    left = F.get(F.transform(F.array(F.split(F.col(text), "\n")), lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")), F.lit(0))
     return (
         rows.join(marks, ["__id", "__key"], "left")
         .withColumn(text, F.when(F.size("__gone") > 0, left).otherwise(F.col(text)))
-        .withColumn("n_removed", F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long"))
+        .withColumn("__n_removed", F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long"))
         .drop("__id", "__key", "__gone")
     )
 
 
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """``docs`` with common blocks deleted from ``text``, and ``n_lines``, ``n_removed``."""
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _without_blocks(docs, id_col, text, **more).select(*own, F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+
+
 def keep_distinct_lines(docs: DataFrame) -> DataFrame:
     """Pipeline stage: blocks go; a document that loses all its lines goes too."""
-    out = drop_common_lines(docs)
-    return out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns)
+    out = _without_blocks(docs, "doc_id", "text")
+    return out.filter("__n_removed = 0 or __n_removed < __n_lines").select(*docs.columns)

@@ -72,6 +72,30 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE = {
+    "op4_line_alignment_dedup": """
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+        ), c AS (
+            SELECT doc_id, i, line, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS hi, hi - length(line) AS lo FROM l
+        ), w AS (
+            SELECT a.doc_id, a.i AS s, b.i AS e
+            FROM c a ASOF JOIN (SELECT doc_id, i, hi * 4194304 + i AS k FROM c) b ON a.doc_id = b.doc_id AND (a.lo + 100) * 4194304 <= b.k
+            UNION
+            SELECT b.doc_id, a.i, b.i
+            FROM (SELECT doc_id, i, (hi - 100) * 4194304 + 4194303 AS k FROM c) b ASOF JOIN (SELECT doc_id, i, lo * 4194304 + i AS k FROM c) a ON a.doc_id = b.doc_id AND b.k >= a.k
+        ), t AS (
+            SELECT w.doc_id, s, e, md5(array_to_string(list_slice(string_split(coalesce(d.text, ''), chr(10)), s, e), chr(10))) AS run FROM w JOIN documents d USING (doc_id)
+        ), f AS (
+            SELECT doc_id, s, e FROM (SELECT *, min(doc_id) OVER (PARTITION BY run) AS first FROM t) WHERE doc_id > first
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM f
+        ), kept AS (
+            SELECT c.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY c.i) FILTER (WHERE gone.i IS NULL), '') AS left_over
+            FROM c LEFT JOIN gone ON c.doc_id = gone.doc_id AND c.i = gone.i GROUP BY c.doc_id
+        )
+        SELECT d.doc_id, n_lines, n_removed, CASE WHEN d.text IS NOT NULL THEN length(left_over) END AS n_chars, CASE WHEN d.text IS NOT NULL THEN sha256(left_over) END AS kept_sha256
+        FROM documents d JOIN kept USING (doc_id)
+    """,
     "op10_impact_ordered_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

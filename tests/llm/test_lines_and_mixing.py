@@ -36,7 +36,7 @@ def test_later_documents_lose_common_blocks(spark):
 def test_frequent_lines_still_pair_with_the_first(spark):
     shared = "\n".join(LONG[:3])
     rows = [(i, f"document {i} begins in its own way, like no other one does\n{shared}", "x") for i in range(30)]
-    got = run(spark, rows, rare=3)
+    got = run(spark, rows)
     assert got[0, "x"][2] == 0 and all(got[i, "x"][2] == 3 for i in range(1, 30))
 
 

@@ -123,3 +123,30 @@ def level_rules(level: Column, n: Column) -> dict[str, Column]:
         "unit": F.least(n - 1, F.when(level == F.floor(level), level.cast("int")).otherwise(part)),
         "viewer": (level * (n - 1)).cast("int"),
     }
+
+
+def random_terms(k: int) -> tuple[list[int], list[int]]:
+    """The C library's ``rand`` after ``srand(seed)`` as sums: its k-th value is half the sum
+    of term x (start x seed mod 2^31 - 1), mod 2^32. Additive feedback over 31 words, lags 3
+    and 31, the first 310 values thrown away: linear, so that only 31 factors are left."""
+    start = [1]
+    while len(start) < 31:
+        start.append(start[-1] * 16807 % ((1 << 31) - 1))
+    rows = [[int(i == j) for j in range(31)] for i in range(31)] + [[int(i == j) for j in range(31)] for i in range(3)]
+    while len(rows) <= 344 + k:
+        rows.append([(a + b) % (1 << 32) for a, b in zip(rows[-3], rows[-31])])
+    return start, rows[344 + k]
+
+
+def random_value(seed: Column, k: int = 0) -> Column:
+    """k-th value of the C library's generator for a seed of up to 31 bits; 0 counts as 1."""
+    start, terms = random_terms(k)
+    s = F.when(seed == 0, F.lit(1)).otherwise(seed).cast("long")
+    low = F.lit((1 << 32) - 1)
+    parts = [(s * F.lit(a) % F.lit((1 << 31) - 1) * F.lit(b)).bitwiseAND(low) for a, b in zip(start, terms) if b]
+    return F.shiftright(total(parts).bitwiseAND(low), 1)
+
+
+def region_colour(seed: Column, channels: int = 3) -> list[Column]:
+    """Colour of a region by its id: consecutive random values below 255."""
+    return [(random_value(seed, c) % 255).cast("int") for c in range(channels)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 2048
@@ -75,19 +76,36 @@ def surviving_neighbours(edges: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``, if it is set."""
+    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``. Only a local
+    session, whose executors share the driver's disk, may leave it unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
-def min_label(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def positions(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``position``, their number from 0 in the order of a unique key.
+
+    Rows are dealt by ranges of the key and numbered inside each; only the row count of each
+    range is gathered, never the rows."""
+    at = durable(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__n", F.monotonically_increasing_id()))
+    part, own = F.shiftright("__n", 33), F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = at.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    # One row a range.
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    return at.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("position", own + F.col("__before")).drop("__n", "__part", "__before")
+
+
+def min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, rep): smallest node of each component. Labels spread along edges and jump to
-    the label of the label, so long chains take few rounds."""
+    the label of the label, so long chains take few rounds; it ends when no label changes."""
     both = durable(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     at = durable(nodes.select("node", F.col("node").alias("rep")))
-    for _ in range(rounds):
+    while True:
         near = both.join(at.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("rep").alias("m"))
         step = at.join(near, "node", "left").select("node", F.least("rep", F.coalesce("m", "rep")).alias("rep"), F.col("rep").alias("was"))
         jump = step.select(F.col("node").alias("rep"), F.col("rep").alias("far"))
@@ -95,8 +113,7 @@ def min_label(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame
         changed = now.filter("rep <> was").limit(1).count()
         at = now.select("node", "rep")
         if not changed:
-            break
-    return at
+            return at
 
 
 def interval_edges(intervals: DataFrame, n8: bool) -> DataFrame:

@@ -93,28 +93,28 @@ def suppress_thin(ids: np.ndarray, rounds: int = 8) -> np.ndarray:
     return out
 
 
-def grid_edges(frames: np.ndarray, index: dict, colours: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """(bucket, list, sequence, ...) sorted edges of a chunk: (bucket, list, seq, a, b, weight)."""
-    out = []
-    first = int(frames[:, 0].min()) if len(frames) else 0
-    for i, (f, y, x) in enumerate(frames.tolist()):
-        for seq, (dy, dx) in enumerate(SPATIAL):
-            j = index.get((f, y + dy, x + dx))
-            if j is not None:
-                out.append((2 * f, i * 16 + seq, i, j))
-        if f > first:
-            for seq, (dy, dx) in enumerate(TEMPORAL):
-                j = index.get((f - 1, y + dy, x + dx))
-                if j is not None:
-                    out.append((2 * f - 1, i * 16 + seq, i, j))
-    if not out:
+def grid_edges(frames: np.ndarray, colours: np.ndarray) -> list[tuple[int, int, int, int, int, float]]:
+    """Sorted edges of a chunk: (bucket, list, sequence, a, b, weight). ``frames``: rows
+    (frame, y, x) in that order; every offset is one lookup of all voxels at once."""
+    if not len(frames):
         return []
-    arr = np.array(out, np.int64)
+    at = frames.astype(np.int64) - frames.min(axis=0)
+    deep, wide = at[:, 1].max() + 3, at[:, 2].max() + 3
+    key = (at[:, 0] * deep + at[:, 1] + 1) * wide + at[:, 2] + 1
+    own = np.arange(len(frames))
+    parts = []
+    for steps, back in ((SPATIAL, 0), (TEMPORAL, 1)):
+        for seq, (dy, dx) in enumerate(steps):
+            want = key + (dy - back * deep) * wide + dx
+            j = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            hit = key[j] == want
+            parts.append(np.stack([2 * frames[hit, 0] - back, own[hit] * 16 + seq, own[hit], j[hit]], axis=1))
+    arr = np.concatenate(parts)
     d = colours[arr[:, 2]] - colours[arr[:, 3]]
     weight = np.sqrt((d * d).sum(axis=1) / 3.0)
     bucket = np.minimum(BUCKETS, weight * BUCKETS / 1.000001).astype(np.int64)
     order = np.lexsort((arr[:, 1], arr[:, 0], bucket))
-    return [(int(bucket[k]), int(arr[k, 0]), int(arr[k, 1]), int(arr[k, 2]), int(arr[k, 3]), float(weight[k])) for k in order]
+    return list(zip(bucket[order].tolist(), *arr[order].T.tolist(), weight[order].tolist()))
 
 
 def merge_edges(forest: Forest, edges, min_size: int, threshold: float = 0.05, force: float = 0.001, split: float = 0.15,
@@ -167,11 +167,10 @@ def segment_voxels(voxels: DataFrame, width: int, height: int, min_size: int = 6
         pdf = pdf.sort_values(["frame", "y", "x"])
         at = pdf[["frame", "y", "x"]].to_numpy()
         colours = pdf[["c0", "c1", "c2"]].to_numpy(float)
-        index = {tuple(k): i for i, k in enumerate(at.tolist())}
         forest = Forest(colours, pdf["constr"].tolist() if pinned else None)
         if pinned:
             join_pinned(forest)
-        merge_edges(forest, grid_edges(at, index, colours), min_size)
+        merge_edges(forest, grid_edges(at, colours), min_size)
         node = at[:, 0].astype(np.int64) * (width * height) + at[:, 1] * width + at[:, 2]
         low: dict[int, int] = {}
         roots = [forest.find(i) for i in range(len(at))]

@@ -5,6 +5,7 @@ An interval is (frame, region_id, y, left_x, right_x), both ends inclusive.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +129,42 @@ def touching(a: str, b: str, n8: bool) -> Column:
     gap when diagonals count (N8)."""
     gap = 1 if n8 else 0
     return (F.col(f"{a}.left_x") <= F.col(f"{b}.right_x") + gap) & (F.col(f"{b}.left_x") <= F.col(f"{a}.right_x") + gap)
+
+
+def _frame_components(n8: bool):
+    """Smallest node of each component of touching intervals of one region in a frame."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "left_x"])
+        rows = list(zip(*(pdf[c].tolist() for c in ("y", "region_id", "left_x", "right_x", "node"))))
+        up = list(range(len(rows)))
+
+        def find(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        gap, above, current = int(n8), [], []
+        for k, (y, region, left, right, _) in enumerate(rows):
+            if current and rows[current[-1]][0] != y:
+                above, current = (current if rows[current[-1]][0] == y - 1 else []), []
+            beside = [current[-1]] if n8 and current and rows[current[-1]][3] + 1 == left else []
+            for j in above + beside:
+                if rows[j][1] == region and (j in beside or rows[j][2] <= right + gap and left <= rows[j][3] + gap):
+                    a, b = find(j), find(k)
+                    up[max(a, b)] = min(a, b)
+            current.append(k)
+        low: dict[int, int] = {}
+        for k, row in enumerate(rows):
+            r = find(k)
+            low[r] = min(low.get(r, row[4]), row[4])
+        return pd.DataFrame({"node": [r[4] for r in rows], "rep": [low[find(k)] for k in range(len(rows))]})
+
+    return run
+
+
+def components(intervals: DataFrame, n8: bool) -> DataFrame:
+    """(node, rep): links of intervals never leave a frame, so each frame is labelled by
+    itself, in one pass over its rows; N8 also joins intervals that follow in a row."""
+    return intervals.groupBy("frame").applyInPandas(_frame_components(n8), "node long, rep long")

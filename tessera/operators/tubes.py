@@ -125,7 +125,9 @@ def settle(tubes: list[Tube], diagonal: float, small: float = 20.0) -> list[Tube
 
 def split_regions(intervals: DataFrame, width: int, height: int) -> DataFrame:
     """Intervals (frame, region_id, y, left_x, right_x) with ``tube`` per region: 0 for the
-    largest, which keeps the region's id, others in order."""
+    largest, which keeps the region's id, others in order. With a ``chunk_id`` column regions
+    are split within their chunk, so a group never spans a whole video."""
+    keys = ["chunk_id", "region_id"] if "chunk_id" in intervals.columns else ["region_id"]
     diagonal = math.hypot(width, height)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,4 +138,4 @@ def split_regions(intervals: DataFrame, width: int, height: int) -> DataFrame:
         rows = [(s.frame, region, n, y, a, b) for n, k in enumerate(order) for s in tubes[k] for y, a, b in s.rows]
         return pd.DataFrame(rows, columns=["frame", "region_id", "tube", "y", "left_x", "right_x"])
 
-    return intervals.groupBy("region_id").applyInPandas(run, "frame int, region_id int, tube int, y int, left_x int, right_x int")
+    return intervals.groupBy(*keys).applyInPandas(run, "frame int, region_id int, tube int, y int, left_x int, right_x int")

@@ -79,21 +79,23 @@ query("f13_vector_merge", fx.with_views("hist64", HM + " SELECT id, bin, round(v
     lambda spark, d: _hist_merge(spark, d).withColumn("s", F.sum("value").over(Window.partitionBy("id"))).select("id", "bin", F.round(F.col("value") / F.col("s"), 6).alias("value")))
 
 
-@query("f10_scale_histogram", fx.with_views("hist64", """--cte b AS (SELECT vec_id, value, least(3e0, (bin // 16) * 1.25e0) AS p, (bin // 4) % 4 AS q, bin % 4 AS r FROM hist64),
-s AS (SELECT vec_id, CAST(least(floor(p), 2) + k AS INTEGER) * 16 + q * 4 + r AS bin, value * CASE WHEN k = 1 THEN p - least(floor(p), 2) ELSE 1e0 - (p - least(floor(p), 2)) END AS v FROM b CROSS JOIN (VALUES (0), (1)) AS t(k))
-SELECT vec_id, CAST(bin AS INTEGER) AS bin, round(sum(v), 6) AS value FROM s GROUP BY 1, 2"""))
+GAIN = (1.25, 0.8, 1.5)
+AXES = ("bin // 16", "(bin // 4) % 4", "bin % 4")
+
+
+@query("f10_scale_histogram", fx.with_views("hist64", "--cte b AS (SELECT vec_id, value, " + ", ".join(f"least(3e0, ({x}) * {g}e0) AS p{i}" for i, (x, g) in enumerate(zip(AXES, GAIN))) + """ FROM hist64),
+c AS (SELECT *, least(floor(p0), 2) AS l0, least(floor(p1), 2) AS l1, least(floor(p2), 2) AS l2 FROM b), k AS (SELECT i, j, m FROM (VALUES (0), (1)) AS p(i) CROSS JOIN (VALUES (0), (1)) AS q(j) CROSS JOIN (VALUES (0), (1)) AS r(m)),
+s AS (SELECT vec_id, CAST((l0 + i) * 16 + (l1 + j) * 4 + l2 + m AS INTEGER) AS bin, value * abs(1 - i - (p0 - l0)) * abs(1 - j - (p1 - l1)) * abs(1 - m - (p2 - l2)) AS v FROM c CROSS JOIN k)
+SELECT vec_id, bin, round(sum(v), 6) AS value FROM s GROUP BY 1, 2 HAVING sum(v) <> 0"""))
 def f10(spark, d):
-    h = fx.histograms(spark, d)
-    p = F.least(F.lit(3.0), F.expr("bin div 16") * 1.25)
-    low = F.least(F.floor("p"), F.lit(2))
-    rest = F.expr("bin % 16")
-    halves = F.array(F.struct((low * 16 + F.col("rest")).alias("bin"), (1.0 - (F.col("p") - low)).alias("w")), F.struct(((low + 1) * 16 + F.col("rest")).alias("bin"), (F.col("p") - low).alias("w")))
-    s = h.withColumns({"p": p, "rest": rest}).select("vec_id", "value", F.explode(halves).alias("o"))
-    return s.groupBy("vec_id", F.col("o.bin").cast("int").alias("bin")).agg(F.round(F.sum(F.col("value") * F.col("o.w")), 6).alias("value"))
+    return ds.scale(fx.histograms(spark, d), ["vec_id"], (4, 4, 4), GAIN).select("vec_id", "bin", F.round("value", 6).alias("value"))
+
 
+@query("f11_histogram_moments", fx.with_views("hist64", "SELECT vec_id, " + ", ".join(f"round(sum(({x}) * value), 6) AS mean{i}, round(sum(({x}) * ({x}) * value) - power(sum(({x}) * value), 2), 6) AS var{i}" for i, x in enumerate(AXES)) + " FROM hist64 GROUP BY vec_id"))
+def f11(spark, d):
+    m = ds.moments(fx.histograms(spark, d), ["vec_id"], (4, 4, 4))
+    return m.select("vec_id", *[F.round(c, 6).alias(c) for i in range(3) for c in (f"mean{i}", f"var{i}")])
 
-query("f11_histogram_moments", fx.with_views("hist64", "SELECT vec_id, round(sum((bin // 16) * value), 6) AS mean0, round(sum((bin // 16) * (bin // 16) * value) - power(sum((bin // 16) * value), 2), 6) AS var0 FROM hist64 GROUP BY vec_id"))(
-    lambda spark, d: fx.histograms(spark, d).withColumn("i", F.expr("bin div 16")).groupBy("vec_id").agg(F.round(F.sum(F.col("i") * F.col("value")), 6).alias("mean0"), F.round(F.sum(F.col("i") * F.col("i") * F.col("value")) - F.pow(F.sum(F.col("i") * F.col("value")), F.lit(2)), 6).alias("var0")))
 
 ANGLE = "atan2(fy, fx) / (2e0 * 3.141592653589793e0 + 1e-4) + 0.5e0"
 
@@ -123,14 +125,22 @@ query("k09_chi_square", fx.with_views("hist64", PAIR + " SELECT vec_id, round(0.
     lambda spark, d: _pairs(spark, d).groupBy("vec_id").agg(F.round(ds.distances()["chi_square"], 6).alias("d")))
 query("k10_divergences", fx.with_views("hist64", PAIR + f" SELECT vec_id, round({KL[0]}, 6) AS kl, round({KL[1]}, 6) AS js, round(sqrt(sum((a - b) * (a - b))), 6) AS l2 FROM j GROUP BY 1"))(
     lambda spark, d: _pairs(spark, d).groupBy("vec_id").agg(*[F.round(ds.distances()[k], 6).alias(k) for k in ("kl", "js", "l2")]))
-query("k11_vector_distances", "WITH e AS (SELECT vec_id, embedding FROM embeddings), j AS (SELECT a.vec_id, list_zip(a.embedding, b.embedding) AS z FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0) SELECT vec_id, round(sqrt(list_sum(list_transform(z, lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))), 6) AS l2 FROM j")(
-    lambda spark, d: _vector_l2(spark, d))
+Z = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings), j AS (SELECT a.vec_id, list_zip(a.e, b.e) AS z FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"
+query("k11_vector_distances", Z + " SELECT vec_id, round(sqrt(list_sum(list_transform(z, lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS l2, round(0.5e0 * list_sum(list_transform(z, lambda p: CASE WHEN p[1] + p[2] <> 0 THEN (p[1] - p[2]) * (p[1] - p[2]) / (p[1] + p[2]) ELSE 0e0 END)), 6) AS chi_square FROM j")(
+    lambda spark, d: _vector_pairs(spark, d))
 
 
-def _vector_l2(spark, d):
-    e = fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+def _vector_pairs(spark, d):
+    e = fx.table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), F.abs).alias("e"))
     j = e.filter("vec_id % 2 = 0").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("o")), "vec_id")
-    return j.select("vec_id", F.round(F.sqrt(F.aggregate(F.zip_with("e", "o", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)), 6).alias("l2"))
+    return j.select("vec_id", F.round(ds.vector_l2("e", "o"), 6).alias("l2"), F.round(ds.vector_chi_square("e", "o"), 6).alias("chi_square"))
+
+
+NEAR = "(VALUES (-1), (0), (1)) AS t(k)"
+query("f12_interpolated_vectors", fx.with_views("labels", f"--cte v AS (SELECT region_id, ({ANGLE}) * 16e0 AS a, sqrt(fx * fx + fy * fy) AS m FROM labels JOIN voxels USING (frame, y, x)) SELECT region_id, CAST((floor(a) + k + 16) % 16 AS INTEGER) AS bin, round(sum((1e0 - abs(floor(a) + k + 0.5e0 - a)) * m), 5) AS value FROM v CROSS JOIN {NEAR} WHERE abs(floor(a) + k + 0.5e0 - a) < 1e0 GROUP BY 1, 2"))(
+    lambda spark, d: ds.spread(_labelled(spark, d).withColumn("a", px.norm_angle(F.col("fx"), F.col("fy")) * 16.0), "a", F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")), 16, ["region_id"]).select("region_id", "bin", F.round("value", 5).alias("value")))
+query("f12_interpolated_bins", fx.with_views("labels", f"--cte v AS (SELECT region_id, ({ANGLE}) * 16e0 AS a FROM labels JOIN voxels USING (frame, y, x)) SELECT region_id, CAST((floor(a) + k) % 16 AS INTEGER) AS bin, round(sum(CASE WHEN k = 1 THEN a - floor(a) ELSE 1e0 - (a - floor(a)) END), 5) AS value FROM v CROSS JOIN (VALUES (0), (1)) AS t(k) GROUP BY 1, 2"))(
+    lambda spark, d: ds.between(_labelled(spark, d).withColumn("a", px.norm_angle(F.col("fx"), F.col("fy")) * 16.0), "a", 16, ["region_id"]).select("region_id", "bin", F.round("value", 5).alias("value")))
 
 
 query("f18_merge_means", fx.with_views("labels", "--cte r AS (SELECT region_id, frame, count(*) AS n, avg(c0) AS m FROM labels JOIN voxels USING (frame, y, x) GROUP BY 1, 2) SELECT region_id, round(sum(n * m) / sum(n), 6) AS m FROM r GROUP BY 1"))(
@@ -186,7 +196,7 @@ query("i06_closest_tube", fx.with_views("labels", MEAN + ", r AS (SELECT a, b, r
 query("i05_largest_tube", fx.with_views("labels", TUBE + ", t AS (SELECT frame, tube, row_number() OVER (PARTITION BY frame ORDER BY size DESC, tube) AS k FROM s) SELECT frame, tube FROM t WHERE k = 1"))(
     lambda spark, d: slices(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("size"), "tube"))).filter("k = 1").select("frame", "tube"))
 
-BOX = "--cte b AS (SELECT vec_id AS id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[1] AS DOUBLE) + 0.2e0, CAST(embedding[2] AS DOUBLE) + 0.1e0] AS r FROM embeddings WHERE vec_id < 120)"
+BOX = "--cte b AS (SELECT vec_id AS id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[1] AS DOUBLE) + 0.2e0, CAST(embedding[2] AS DOUBLE) + 0.1e0] AS r FROM embeddings)"
 
 
 @query("e14_boxes_cross", "WITH " + BOX[6:] + """, h AS (SELECT id, r[1] AS x0, r[3] AS x1, unnest([r[2], r[4]]) AS y FROM b), v AS (SELECT id, r[2] AS y0, r[4] AS y1, unnest([r[1], r[3]]) AS x FROM b)
@@ -230,11 +240,18 @@ query("g04_chunk_sets", fx.with_views("frame_stream", SETS + " SELECT video_id,
     lambda spark, d: _sets(spark, d).groupBy("video_id", "chunk_set_id").agg(F.count_distinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("frames")))
 query("n10_chunk_set_plan", fx.with_views("frame_stream", SETS + " SELECT DISTINCT video_id, chunk_id, chunk_set_id FROM p"))(lambda spark, d: _sets(spark, d).select("video_id", "chunk_id", "chunk_set_id").distinct())
 query("g07_windowed_means", fx.with_views("voxels", "--cte w AS (SELECT frame // 5 AS w, avg(c0) AS m FROM voxels GROUP BY 1) SELECT CAST(w AS INTEGER) AS w, round(avg(m) OVER (ORDER BY w RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS m FROM w"))(
-    lambda spark, d: fx.voxels(spark, d).groupBy(F.expr("cast(frame div 5 as int)").alias("w")).agg(F.avg("c0").alias("m")).select("w", F.round(F.avg("m").over(Window.orderBy("w").rangeBetween(-1, 1)), 6).alias("m")))
+    lambda spark, d: _around(fx.voxels(spark, d).groupBy(F.expr("cast(frame div 5 as int)").alias("w")).agg(F.avg("c0").alias("m"))))
 query("a09_seek_exact_pts", fx.with_views("frame_stream", "SELECT video_id, frame, pts FROM frame_stream WHERE pts = (SELECT min(pts) FROM frame_stream WHERE video_id = 2)"))(
     lambda spark, d: _exact(spark, d))
 
 
+def _around(m):
+    """Mean over a window and its two neighbours: each sends its own to all three, so no
+    task sees more than three rows of a window."""
+    sent = m.select(F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"), "m")
+    return sent.groupBy("w").agg(F.round(F.avg("m"), 6).alias("m")).join(m.select("w"), "w", "left_semi")
+
+
 def _exact(spark, d):
     s = fx.frame_stream(spark, d)
     return s.filter(F.col("pts") == s.filter("video_id = 2").agg(F.min("pts")).first()[0]).select("video_id", "frame", "pts")

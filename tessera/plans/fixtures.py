@@ -139,7 +139,7 @@ hist64 AS (SELECT vec_id, bin, a / sum(a) OVER (PARTITION BY vec_id) AS value, C
     "frame_stream": """fs0 AS (SELECT CAST(user_id % 4 AS INTEGER) AS video_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS frame, epoch_us(ts) AS pts, value FROM events),
 frame_stream AS (SELECT video_id, CAST(frame AS INTEGER) AS frame, pts, value, (pts - lag(pts) OVER (PARTITION BY video_id ORDER BY frame)) / 1e6 AS period FROM fs0)""",
     "project_labels": """project_labels AS (SELECT event_type AS label, CAST(json_extract(props, '$.k') AS INTEGER) * 65793 AS color, CAST(event_id % 24 AS INTEGER) AS id, event_id FROM events)""",
-    "region_graph": """rg0 AS (SELECT l_suppkey, avg(l_discount) AS m FROM lineitem GROUP BY 1), rg1 AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0),
+    "region_graph": """rg0 AS (SELECT l_suppkey, avg(l_discount) AS m FROM lineitem GROUP BY 1), rg1 AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 rg2 AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM rg1 a JOIN rg1 b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey),
 region_graph AS (SELECT src, dst, round(least(1e0, 10e0 * abs(s.m - d.m)), 9) AS weight FROM rg2 JOIN rg0 s ON s.l_suppkey = src JOIN rg0 d ON d.l_suppkey = dst)""",
     "spatial": """so AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 0), (2, 1, -1), (3, 1, 1)) AS t(seq, dy, dx)),

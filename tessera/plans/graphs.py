@@ -96,7 +96,7 @@ FIRST = "SELECT region_id, dense_rank() OVER (ORDER BY m) - 1 AS idx FROM (SELEC
 
 def _first_seen(spark, d):
     m = fx.labels(spark, d).groupBy("region_id").agg(F.min(graph.node_id(8, 8)).alias("m"))
-    return m.select("region_id", (F.dense_rank().over(Window.orderBy("m")) - 1).cast("long").alias("idx"))
+    return graph.positions(m, "m").select("region_id", F.col("position").alias("idx"))
 
 
 query("h13_region_index", fx.with_views("labels", FIRST))(_first_seen)
@@ -105,7 +105,7 @@ query("g06_traversal_index", fx.with_views("labels", FIRST))(_first_seen)
 
 @query("g05_unique_region_ids", fx.with_views("region_sizes", "SELECT id, CASE WHEN id % 3 = 0 THEN id ELSE row_number() OVER (ORDER BY id) - 1 + 1000 END AS region_id FROM region_sizes"))
 def g05(spark, d):
-    return fx.region_sizes(spark, d).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.row_number().over(Window.orderBy("id")) - 1 + 1000).alias("region_id"))
+    return graph.positions(fx.region_sizes(spark, d), "id").select("id", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.col("position") + 1000).alias("region_id"))
 
 
 @query("d04_mergeable_edges", fx.with_views("region_graph", "SELECT src, dst, (src % 4 = 0 OR dst % 4 = 0 OR src % 4 = dst % 4) AS mergeable FROM region_graph"))
@@ -128,8 +128,8 @@ def _rb():
     return graph.bucket(F.col("weight"), 2048, 1.01)
 
 
-query("h21_region_edges", fx.with_views("region_graph", "SELECT src, dst, round(weight, 6) AS weight FROM region_graph"))(
-    lambda spark, d: fx.region_graph(spark, d).select("src", "dst", F.round("weight", 6).alias("weight")))
+query("h21_region_edges", fx.with_views("region_graph", "SELECT src, dst, weight FROM region_graph"))(
+    lambda spark, d: fx.region_graph(spark, d).select("src", "dst", "weight"))
 query("h22_region_buckets", fx.with_views("region_graph", f"SELECT src, dst, CASE WHEN src % 4 = 0 OR dst % 4 = 0 OR src % 4 = dst % 4 THEN {RB} END AS bucket FROM region_graph"))(
     lambda spark, d: d04(spark, d).join(fx.region_graph(spark, d), ["src", "dst"]).select("src", "dst", F.when(F.col("mergeable"), _rb()).alias("bucket")))
 query("i03_lowest_bucket", fx.with_views("region_graph", f"SELECT min({RB}) AS bucket, count(*) AS n FROM region_graph"))(
@@ -140,10 +140,12 @@ MEDIAN = "WITH s AS (SELECT list_sort(list(size)) AS v FROM (SELECT l_suppkey, c
 
 
 def _median(spark, d):
-    """The element n div 2 of the sorted sizes, by rank: no list is gathered."""
-    s = fx.region_sizes(spark, d)
-    n = s.count()
-    m = s.orderBy("size").offset(n // 2).limit(1)
+    """The element n div 2 of the sorted sizes: a running count over the different sizes, of
+    which there are few, not over the regions."""
+    by_size = fx.region_sizes(spark, d).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("size")
+    ran = by_size.select("size", F.sum("n").over(w).alias("upto"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("of"))
+    m = ran.filter("upto > of div 2").groupBy().agg(F.min("size").alias("size")).filter("size is not null")
     return m.select(F.col("size").alias("median"), F.round(F.when(F.col("size") > 0, 1.0 / F.col("size")).otherwise(1.0), 9).alias("scale"))
 
 
@@ -242,6 +244,15 @@ query("b13_hierarchy_lookup", fx.with_views("tree scan_interval", "SELECT s.fram
 # ---- clustering kernels (order dependent) --------------------------------------------
 query("h08_dense_segmentation")(lambda spark, d: kernels.segment_voxels(fx.voxels(spark, d).withColumn("chunk_id", F.expr(f"cast(frame div {fx.CHUNK_STRIDE} as int)")), 8, 8))
 query("h17_n4_repair")(lambda spark, d: kernels.enforce_n4(fx.labels(spark, d), 8, 8))
-query("h26_hierarchical_segmentation")(lambda spark, d: kernels.agglomerate(
-    fx.region_graph(spark, d).withColumn("set_id", F.lit(0)),
-    fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("size"), F.avg("l_discount").alias("mean")).withColumn("set_id", F.lit(0))))
+
+
+def _region_sets(spark, d):
+    """Edges and nodes of the region graph by set: the suppliers of a nation are one."""
+    of = fx.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("int").alias("set_id"))
+    end = lambda k: of.select(F.col("s_suppkey").alias(k), F.col("set_id").alias(f"{k}_set"))
+    edges = fx.region_graph(spark, d).join(end("src"), "src").join(end("dst"), "dst").filter("src_set = dst_set").withColumnRenamed("src_set", "set_id")
+    nodes = fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("size"), F.avg("l_discount").alias("mean"))
+    return edges.drop("dst_set"), nodes.join(of.withColumnRenamed("s_suppkey", "id"), "id")
+
+
+query("h26_hierarchical_segmentation")(lambda spark, d: kernels.agglomerate(*_region_sets(spark, d)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, raster
+from tessera.functions import pixel as px
+from tessera.operators import hierarchy, raster
 from tessera.plans import fixtures as fx
 
 QUERIES, ORACLE = {}, {}
@@ -214,7 +215,7 @@ SELECT CAST(node AS BIGINT) AS node, CAST(min(rep) AS BIGINT) AS rep FROM reach
 def _components(n8: bool):
     def run(spark, d):
         iv = fx.scan_intervals(spark, d).withColumn("node", (F.col("frame").cast("long") * 64 + F.col("y") * 8 + F.col("left_x")))
-        return graph.min_label(iv, graph.interval_edges(iv, n8))
+        return raster.components(iv, n8)
 
     return run
 
@@ -255,3 +256,24 @@ def d08(spark, d):
 def j05(spark, d):
     s = fx.labels(spark, d).select("frame", "region_id", (2 * F.col("y")).alias("sy"), F.explode(F.array(2 * F.col("x") - 1, 2 * F.col("x") + 1)).alias("sx"))
     return s.groupBy("frame", "sy", "sx").agg(F.min("region_id").alias("region_id"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+
+
+def _random_sql(seed: str, k: int) -> str:
+    start, terms = px.random_terms(k)
+    return "(((" + " + ".join(f"((({seed}) * {a} % 2147483647 * {b}) & 4294967295)" for a, b in zip(start, terms) if b) + ") & 4294967295) >> 1)"
+
+
+def _colours_sql(seed: str) -> str:
+    return ", ".join(f"CAST({_random_sql(seed, k)} % 255 AS INTEGER) AS c{k}" for k in range(3))
+
+
+query("k23_random_colours", fx.with_views("labels", f"SELECT id, {_colours_sql('s')} FROM (SELECT DISTINCT region_id AS id, CAST(CASE WHEN region_id = 0 THEN 1 ELSE region_id END AS BIGINT) AS s FROM labels)"))(
+    lambda spark, d: fx.labels(spark, d).select(F.col("region_id").alias("id")).distinct().select("id", *[c.alias(f"c{k}") for k, c in enumerate(px.region_colour(F.col("id")))]))
+
+
+@query("m05_hierarchy_colours", fx.with_views("labels", f"SELECT frame, region_id, mapped_id, {_colours_sql('s')} FROM (SELECT DISTINCT frame, region_id, CAST(region_id // 2 AS INTEGER) AS mapped_id, CAST(CASE WHEN region_id // 2 = 0 THEN 1 ELSE region_id // 2 END AS BIGINT) AS s FROM labels)"))
+def m05(spark, d):
+    """Regions of each frame with their ancestor's id at level 1 and the colour of that id."""
+    up = hierarchy.ancestors(fx.hierarchy_levels(spark, d), 0, 1).select(F.col("id").alias("region_id"), F.col("ancestor").cast("int").alias("mapped_id"))
+    seen = fx.labels(spark, d).select("frame", "region_id").distinct().join(up, "region_id")
+    return seen.select("frame", "region_id", "mapped_id", *[c.alias(f"c{k}") for k, c in enumerate(px.region_colour(F.col("mapped_id")))])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import pixel as px
@@ -71,8 +70,8 @@ _edge("k14_squared_or", {"d": (lambda: px.squared_or([px.l1_colour(A(), B()), px
 _edge("k15_squared_or_penalised", {
     "d": (lambda: px.clamp01(px.squared_or([px.l1_colour(A(), B()), px.l2_colour(A(), B())]) * px.size_penalty(F.col("src") + 1.0, F.lit(2000.0))),
           f"greatest(0e0, least(1e0, power(1e0 - (1e0 - ({L1})) * (1e0 - {L2}), 2) * least(1e0, 1e0 + 0.25e0 * log2((src + 1e0) / 2000e0))))")})
-_edge("k17_colour_diff_uint8", {"d": (lambda: F.lit(0.0) + F.abs((F.col("c0") * 255).cast("int") - (F.col("d_c0") * 255).cast("int")) + F.abs((F.col("c1") * 255).cast("int") - (F.col("d_c1") * 255).cast("int")),
-                                      "0e0 + abs(CAST(trunc(c0 * 255) AS INTEGER) - CAST(trunc(d_c0 * 255) AS INTEGER)) + abs(CAST(trunc(c1 * 255) AS INTEGER) - CAST(trunc(d_c1 * 255) AS INTEGER))")})
+_edge("k17_colour_diff_uint8", {"d": (lambda: F.lit(0.0) + F.abs((F.col("c0") * 255).cast("int") - (F.col("d_c0") * 255).cast("int")) + F.abs((F.col("c1") * 255).cast("int") - (F.col("d_c1") * 255).cast("int")) + F.abs((F.col("c2") * 255).cast("int") - (F.col("d_c2") * 255).cast("int")),
+                                      "0e0 + abs(CAST(trunc(c0 * 255) AS INTEGER) - CAST(trunc(d_c0 * 255) AS INTEGER)) + abs(CAST(trunc(c1 * 255) AS INTEGER) - CAST(trunc(d_c1 * 255) AS INTEGER)) + abs(CAST(trunc(c2 * 255) AS INTEGER) - CAST(trunc(d_c2 * 255) AS INTEGER))")})
 
 
 def _view(name: str, view: str, source, cols: dict, where: str = "") -> None:
@@ -148,9 +147,11 @@ def _normalised(name: str, run, sql: str) -> None:
 
 def _mean_history(spark, sf_dir):
     m = fx.voxels(spark, sf_dir).groupBy("frame").agg(F.avg("c0").alias("m"))
-    w = Window.orderBy("frame")
-    hist = [F.round(F.lag("m", k).over(w), 6).alias(f"m{k}") for k in range(3)]
-    return m.select("frame", *hist)
+    # Frames are numbered without gaps, so the mean k frames ago is an equi-join away.
+    out = m.select("frame", F.round("m", 6).alias("m0"))
+    for k in (1, 2):
+        out = out.join(m.select((F.col("frame") + k).alias("frame"), F.round("m", 6).alias(f"m{k}")), "frame", "left")
+    return out
 
 
 _normalised("c09_mean_history", _mean_history, fx.with_views("voxels", "--cte m AS (SELECT frame, avg(c0) AS m FROM voxels GROUP BY frame) SELECT frame, " + ", ".join(f"round(lag(m, {k}) OVER (ORDER BY frame), 6) AS m{k}" for k in range(3)) + " FROM m"))

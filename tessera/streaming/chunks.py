@@ -45,12 +45,14 @@ def min_region_size(width: int, height: int, size: int = 20, fraction: float = 0
 
 
 def in_chunks(frames: DataFrame, per_chunk: Callable[[int, int, pd.DataFrame], pd.DataFrame], schema: str, size: int = 20,
-              key: str = "video_id", order: str = "pts", idle: str | None = None) -> DataFrame:
+              key: str = "video_id", order: str = "pts", idle: str | None = None, final: str | None = None) -> DataFrame:
     """Apply ``per_chunk(video, chunk, rows)`` to each chunk of ``stride(size)`` frames.
 
     Frames of a video are numbered as they come; within one micro-batch by ``order``. A late
     frame (not after the last one seen) is dropped, as frames must increase. With ``idle``,
-    a processing-time span, a video that has been silent for so long flushes its rest.
+    a processing-time span, a video that has been silent for so long flushes its rest. With
+    ``final``, a boolean column, the frame where it is true ends its video: what is left of the
+    last chunk comes out at once and the video's state goes.
     """
     n = stride(size)
     columns = frames.columns
@@ -76,6 +78,10 @@ def in_chunks(frames: DataFrame, per_chunk: Callable[[int, int, pd.DataFrame], p
                     yield per_chunk(group[0], (number - 2) // n, pd.DataFrame(rest, columns=["frame", *columns]))
                     rest = []
             rest.append((number - 1, *row))
+            if final and row[columns.index(final)]:
+                yield per_chunk(group[0], (number - 1) // n, pd.DataFrame(rest, columns=["frame", *columns]))
+                state.remove()
+                return
         state.update((number, last, pickle.dumps(rest)))
         if idle:
             state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
@@ -84,6 +90,15 @@ def in_chunks(frames: DataFrame, per_chunk: Callable[[int, int, pd.DataFrame], p
     return frames.groupBy(key).applyInPandasWithState(run, schema, "number long, last long, held binary", "append", timeout)
 
 
+def all_chunks(frames: DataFrame, per_chunk: Callable[[int, int, pd.DataFrame], pd.DataFrame], schema: str, size: int = 20,
+               key: str = "video_id", frame: str = "frame") -> DataFrame:
+    """The same over a finished table of numbered frames: every chunk, the last partial one
+    included, is one group."""
+    n = stride(size)
+    return frames.withColumn("__chunk", F.floor(F.col(frame) / n).cast("long")).groupBy(key, "__chunk").applyInPandas(
+        lambda at, rows: per_chunk(at[0], int(at[1]), rows.drop(columns="__chunk").sort_values(frame)), schema)
+
+
 def rate_table(frames: DataFrame, watermark: str | None = None, window: str = "1 second", time: str = "ts") -> DataFrame:
     """Frames per video and event-time window; with a watermark late rows are dropped."""
     src = frames.withWatermark(time, watermark) if watermark else frames

@@ -94,6 +94,17 @@ def start_all(plans: dict[str, DataFrame], leaves: list[str], checkpoint: str, t
     ]
 
 
+def join_all(queries: list[StreamingQuery], timeout: float | None = None) -> bool:
+    """Wait for every query; on a failure of one the others are stopped before it is raised.
+    False if the time (seconds, for each) ran out first."""
+    try:
+        return all([q.awaitTermination(timeout) if timeout else q.awaitTermination() or True for q in queries])
+    except Exception:
+        for q in queries:
+            q.stop()
+        raise
+
+
 def scaled_rate(max_rate: float, backlog: int, threshold: int, step: int = 10, scale: float = 1.0) -> float:
     """Rate of a source: halved for every ``step`` frames of backlog above the threshold, a
     fifth of the maximum at least."""

@@ -42,7 +42,7 @@ def test_stream_gives_the_batch_segmentation(spark, tmp_path):
         rows = rows.loc[at.index]
         pos, col = rows[["frame", "y", "x"]].to_numpy(), rows[["c0", "c1", "c2"]].to_numpy(float)
         forest = kernels.Forest(col)
-        kernels.merge_edges(forest, kernels.grid_edges(pos, {tuple(p): i for i, p in enumerate(pos.tolist())}, col), 6)
+        kernels.merge_edges(forest, kernels.grid_edges(pos, col), 6)
         node = pos[:, 0] * 64 + pos[:, 1] * 8 + pos[:, 2]
         low = {}
         roots = [forest.find(i) for i in range(len(pos))]
@@ -75,3 +75,21 @@ def test_unit_tree(spark):
     assert units.scaled_rate(20, 10, 10) == 20 and units.scaled_rate(20, 20, 10) == 10 and units.scaled_rate(20, 500, 10) == 4
     assert units.seek(df, 1, "frame").count() == 1
     assert units.slowest_and_longest([{"processedRowsPerSecond": 4.0, "numInputRows": 2}, {"processedRowsPerSecond": 1.0, "numInputRows": 9}]) == (1.0, 9)
+
+
+def test_the_last_partial_chunk_comes_out(spark, tmp_path):
+    rows = [(v, p, p == last) for v, last in ((1, 44), (2, 18), (3, 7)) for p in range(last + 1)]
+    df = spark.createDataFrame(rows, "video_id int, pts long, ends boolean")
+    df.filter("pts < 20").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    df.filter("pts >= 20").coalesce(1).write.parquet(f"{tmp_path}/in/1")
+
+    def count(video, chunk, part):
+        return pd.DataFrame({"video_id": [video], "chunk_id": [chunk], "n": [len(part)]})
+
+    out = chunks.in_chunks(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), count, "video_id int, chunk_id int, n int", final="ends")
+    q = out.writeStream.format("memory").queryName("tails").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert units.join_all([q], 120)
+    want = sorted((v, c, n) for v, sizes in ((1, (19, 19, 7)), (2, (19,)), (3, (8,))) for c, n in enumerate(sizes))
+    assert sorted(tuple(r) for r in spark.table("tails").collect()) == want
+    batch = chunks.all_chunks(df.withColumnRenamed("pts", "frame"), count, "video_id int, chunk_id int, n int")
+    assert sorted(tuple(r) for r in batch.collect()) == want

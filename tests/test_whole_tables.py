@@ -2,6 +2,10 @@
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from tessera.functions import pixel
+from tessera.operators import graph, raster
 from tessera.plans import catalog, fixtures
 
 
@@ -25,3 +29,29 @@ def test_boxes_cross_beyond_the_first_ids(spark, tmp_path):
     want = {(i, j) for i in box for j in box if i < j and (cross(box[i], box[j]) or cross(box[j], box[i]))}
     got = {(r["a"], r["b"]) for r in catalog.queries()["e14_boxes_cross"](spark, str(tmp_path)).collect()}
     assert got == want and any(i >= 120 for i, _ in want)
+
+
+def test_positions_are_ranks_over_all_partitions(spark):
+    df = spark.range(0, 3000, 7).selectExpr("id * 31 % 2999 as k").distinct()
+    got = {r["k"]: r["position"] for r in graph.positions(df, "k").collect()}
+    assert [got[k] for k in sorted(got)] == list(range(len(got))) and len(got) == 429
+    assert graph.positions(df.limit(0), "k").count() == 0
+
+
+def test_random_values_are_those_of_the_c_library(spark):
+    row = spark.createDataFrame([(1, 42)], "a int, b int").select(*[pixel.random_value(F.col(c), k).alias(f"{c}{k}") for c in "ab" for k in range(3)]).first()
+    assert tuple(row) == (1804289383, 846930886, 1681692777, 71876166, 708592740, 1483128881)
+
+
+def test_components_stay_in_a_frame_and_region(spark):
+    rows = [(0, 1, 0, 0, 1, 10), (0, 1, 1, 2, 3, 11), (0, 1, 2, 3, 3, 12), (0, 1, 4, 3, 3, 13), (0, 2, 1, 0, 1, 14), (1, 1, 1, 0, 3, 15)]
+    df = spark.createDataFrame(rows, "frame int, region_id int, y int, left_x int, right_x int, node long")
+    label = lambda n8: {r["node"]: r["rep"] for r in raster.components(df, n8).collect()}
+    assert label(False) == {10: 10, 11: 11, 12: 11, 13: 13, 14: 14, 15: 15}
+    assert label(True) == {10: 10, 11: 10, 12: 10, 13: 13, 14: 14, 15: 15}
+
+
+def test_long_chains_reach_the_fixpoint(spark):
+    n = 700
+    out = graph.min_label(spark.range(n).withColumnRenamed("id", "node"), spark.range(n - 1).selectExpr("id as src", "id + 1 as dst"))
+    assert {r["rep"] for r in out.collect()} == {0}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests, a laptop) a temporary folder is chosen.
+    ``spark.checkpoint.dir`` is read from the session; only a local session (tests, a
+    laptop), whose executors share the driver's disk, may leave it unset.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=eager)
 
@@ -39,24 +42,26 @@ def _stars(edges: DataFrame) -> DataFrame:
     return joined.unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _open(edges: DataFrame) -> bool:
+    """Whether edges (u > v) are more than stars: a node has two edges down, or is both ends."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    sums = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return sums.filter("ups > 1 or (ups = 1 and low = 0)").limit(1).count() > 0
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for each node on an edge; component is the smallest node reachable.
 
     Alternating large-star and small-star steps, every one a group-by and an
     equi-join, so no star is ever gathered in one task; the number of rounds grows
-    with the logarithm of the longest path. Self loops and nulls are ignored.
+    with the logarithm of the longest path and ends when only stars are left. Self loops
+    and nulls are ignored.
     """
     at = durable(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .filter("u is not null and v is not null and u <> v").distinct()
     )
-    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    was = state(at)
-    while was[0]:
+    while _open(at):
         at = durable(_stars(at))
-        now = state(at)
-        if now == was:
-            break
-        was = now
     roots = at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -48,7 +48,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.document_rates(docs, table(spark, sf_dir, "labels"))
+    rates, domains, reached, wanted = mixing.fitted(docs, table(spark, sf_dir, "labels"))
+    listed = lambda x: F.array(*[F.lit(v) for v in x]).cast("array<double>")
+    return rates.withColumns({"domains": F.array(*[F.lit(d) for d in domains]).cast("array<string>"), "reached": listed(reached), "wanted": listed(wanted)})
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

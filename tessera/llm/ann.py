@@ -5,12 +5,13 @@ from a bounded sample (at most about ``sample`` rows, chosen by hash). ``index``
 *every* row by beam search over the residual codebooks and stores the codes with the
 squared norm of the reconstruction. ``search`` scores codes against a query by one table
 of inner products (distance = stored norm - 2 x sum of table entries, up to the query's own
-norm), and reranks the best ``shortlist`` of each index part exactly on the original
-vectors. Queries go in blocks of bounded size; a part returns k rows per query.
+norm), and reranks the best ``shortlist`` of each part of PART index rows exactly on the
+original vectors. Queries go in blocks of bounded size; a part returns k rows per query.
 
 Rows that cannot take part (see ``vectors.usable``) are neither queries nor candidates.
-Equal distances go to the smaller id; fewer than k candidates give fewer rows; an empty
-table gives an empty result.
+Equal distances go to the smaller id; fewer than k candidates give fewer rows; rows that
+repeat an id are candidates each, but none is a candidate of its own id; an empty table gives
+an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import durable
-from tessera.llm.vectors import best, matrix, query_blocks, usable
+from tessera.llm.vectors import best, fixed_parts, matrix, query_blocks, usable
+
+PART = 8192
 
 
 @dataclass(frozen=True)
@@ -109,9 +112,7 @@ def search(indexed: DataFrame, queries: DataFrame, dim: int, books: Codebooks, k
             ids, q, tables = shared.value
             n_books = tables.shape[1]
             kept: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(ids)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in fixed_parts(batches, PART):
                 vec_ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, n_books)
                 norm = batch.column(3).to_numpy().astype(np.float32)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,6 +30,23 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
+def fixed_parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition in parts of ``size`` (the last may be shorter), so that what is
+    done by part does not depend on the session's batch size."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            whole = n // size * size
+            for k in range(0, whole, size):
+                yield rows.slice(k, size).to_batches()[0]
+            held, n = rows.slice(whole).to_batches(), n - whole
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def query_blocks(queries: DataFrame, dim: int, block: int):
     """Query (ids, matrix) in blocks of bounded size, each fetched by its own job."""
     n = queries.count()

@@ -64,3 +64,45 @@ def test_few_and_no_vectors(spark):
     none = spark.createDataFrame(BAD[:2], SCHEMA)
     assert ann.nearest(none, F.col("vec_id") % 50 == 0).count() == 0
     assert topk.top_products(none, F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_topk_of_values_beyond_64_bits_and_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    r = np.random.default_rng(3)
+    values = [[float(v) for v in r.normal(size=4) * 10.0 ** r.integers(0, 17)] for _ in range(80)] + [[1e200, -1e200, 1.0, 1.0], [1e200, 1e200, 1.0, 1.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+    ints = [[math.floor(256 * x) for x in v] for v in values]
+    most = (1 << 63) - 1
+    got = {}
+    for x in topk.top_products(df, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    for q in range(0, 82, 10):
+        score = {i: max(-most - 1, min(most, sum(a * b for a, b in zip(ints[q], ints[i])))) for i in range(82) if i != q}
+        assert sorted(got[q]) == [(k + 1, i, score[i]) for k, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5])]
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    data = [(i, v, 1.0, [1.0], 9) for i, v, _ in rows(120)]
+    df = spark.createDataFrame(data + data[:30], "vec_id long, embedding array<float>, score double, v array<double>, rank int")
+    for out in (ann.nearest(df, F.col("vec_id") % 50 == 0, k=5).collect(), topk.top_products(df, F.col("vec_id") % 50 == 0).collect()):
+        assert {x["query_id"] for x in out} == {0, 50, 100} and all(x["vec_id"] != x["query_id"] for x in out)
+
+
+def test_recall_with_production_settings_does_not_depend_on_the_batch_size(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = {x["vec_id"]: np.array(x["embedding"], float) for x in df.collect()}
+    ids = np.array(sorted(vectors))
+    every = np.stack([vectors[i] for i in ids])
+    found = []
+    for size in ("10000", "300"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found.append(sorted(tuple(x) for x in ann.nearest(df.coalesce(1), F.col("vec_id") % 100 == 0).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        dist = np.linalg.norm(every - vectors[q], axis=1)
+        dist[ids == q] = np.inf
+        best = set(ids[np.lexsort((ids, dist))[:10]].tolist())
+        hits, total = hits + len(best & {x[2] for x in found[0] if x[0] == q}), total + 10
+    assert hits / total >= 0.9

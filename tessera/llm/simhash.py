@@ -12,8 +12,10 @@ what is still larger is compared in tiles. Inside a cell the table of distances
 ``pivots`` reference fingerprints discards pairs with a coordinate difference above the
 radius (triangle inequality); exact popcounts verify the survivors.
 
-Null text counts as empty text; repeated rows and ids are classes of their own text;
-null ids never become a component id. Empty input gives an empty result.
+Null text counts as empty text. Rows stand each for their own text, also where they repeat
+an id; rows without an id link others like any row, but no component is named after them (a
+component of such rows alone has a null id). Very long texts are hashed whole; empty input
+gives an empty result; only the id and the text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -232,10 +234,12 @@ def near_links(classes: DataFrame, radius: int = 4, pivots: int = 24, cell_rows:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hex digits), ``component_id``."""
     prints = durable(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")), width).select("id", "fp"))
-    classes = durable(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    links = durable(near_links(classes.filter("node is not null"), radius))
-    named = components(links, "a", "b")
-    of_class = classes.join(named, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    classes = durable(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    # Classes are linked by their fingerprints, so that one without any id links others too.
+    links = durable(near_links(classes.select("fp", F.col("fp").alias("node")), radius))
+    named = classes.join(components(links, "a", "b").withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_class = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(of_class, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

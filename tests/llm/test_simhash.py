@@ -106,3 +106,19 @@ def test_pivots_never_discard_a_true_pair():
     table = np.bitwise_count(fp[:, None] ^ simhash.reference_fingerprints(24)[None, :]).astype(np.uint8)
     got = {(a, b) for x, y in simhash.close_pairs(fp, table, 4) for a, b in zip(x.tolist(), y.tolist())}
     assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if bin(int(fp[i] ^ fp[j])).count("1") <= 4}
+
+
+def test_rows_without_id_and_repeated_ids_link_like_others(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, width=4: int(text))
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.withColumn("fp", docs["text"].cast("long")))
+    a, b, c, far = 0, 0b1111, 0b11111111, 0xFFFFFFFF
+    rows = [(7, a), (None, b), (5, c), (9, far), (9, a), (None, 0xFFFF0000FFFF), (None, b)]
+    got = near_duplicates(spark.createDataFrame([(i, str(p), "x", "y") for i, p in rows], "doc_id long, text string, fp string, node string")).collect()
+    want = [(i, {a: 5, b: 5, c: 5, far: 9}.get(p)) for i, p in rows]
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    got = {r["doc_id"]: r["fingerprint"] for r in near_duplicates(spark.createDataFrame([(1, long), (2, long + " x")], "doc_id long, text string")).collect()}
+    assert got[1] == f"{brute_print(long):016x}"

@@ -74,6 +74,33 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE = {
+    "op5_prefix_free_parsing_dedup": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+        ), w AS (
+            SELECT doc_id, 512 * c + o AS s, md5_number(substr(piece, 2 * o + 1, 200)) AS k
+            FROM (SELECT doc_id, c, piece, unnest(range(0, least(512, n - 99 - 512 * c))) AS o
+                  FROM (SELECT doc_id, n, c, substr(h, 1024 * c + 1, 1222) AS piece FROM (SELECT doc_id, h, n, unnest(range(0, (n + 412) // 512)) AS c FROM d)))
+        ), f AS (
+            SELECT k, min(doc_id * 4294967296 + s) AS first FROM w GROUP BY k
+        ), r AS (
+            SELECT doc_id, s FROM w JOIN f USING (k) WHERE doc_id * 4294967296 + s > first
+        ), i AS (
+            SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run
+            FROM (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS new FROM r)
+        ), g AS (
+            SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, run
+        ), p AS (
+            SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM g
+            UNION ALL SELECT d.doc_id, coalesce(max(g.b), 0), any_value(d.n) FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
+        ), kept AS (
+            SELECT doc_id, sha256(unhex(string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x))) AS kept_sha256 FROM p JOIN d USING (doc_id) GROUP BY doc_id
+        ), t AS (
+            SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM g GROUP BY doc_id
+        )
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
     "op4_line_alignment_dedup": """
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents

@@ -12,8 +12,10 @@ from collections import deque
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.operators.graph import BUCKETS, SPATIAL, TEMPORAL
+from tessera.operators.graph import BUCKETS, SPATIAL, TEMPORAL, surviving_neighbours
+from tessera.operators.raster import run_lengths
 
 
 class Forest:
@@ -158,6 +160,17 @@ def merge_edges(forest: Forest, edges, min_size: int, threshold: float = 0.05, f
     return left
 
 
+def results(assignment: DataFrame, edges: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:
+    """What a segmentation (node, rep) consists of: its rasters (frame, region_id, y, left_x,
+    right_x), and its regions (region_id, size, first, last, neighbours) by the edges (src, dst)."""
+    at = assignment.select(F.expr(f"cast(node div {width * height} as int)").alias("frame"), F.expr(f"cast(node % {width * height} div {width} as int)").alias("y"),
+                           F.expr(f"cast(node % {width} as int)").alias("x"), F.col("rep").alias("region_id"))
+    near = surviving_neighbours(edges.select("src", "dst"), assignment.select("node", "rep")).withColumnRenamed("rep", "region_id")
+    sizes = at.groupBy("region_id").agg(F.count(F.lit(1)).alias("size"), F.min("frame").alias("first"), F.max("frame").alias("last"))
+    none = F.array().cast("array<long>")
+    return run_lengths(at), sizes.join(near, "region_id", "left").withColumn("neighbours", F.coalesce("neighbours", none))
+
+
 def segment_voxels(voxels: DataFrame, width: int, height: int, min_size: int = 6) -> DataFrame:
     """(chunk_id, node, rep): rep is the smallest node of the region. A ``constr`` column,
     -1 where free, pins voxels to regions of the chunk before."""
@@ -181,6 +194,41 @@ def segment_voxels(voxels: DataFrame, width: int, height: int, min_size: int = 6
     return voxels.groupBy("chunk_id").applyInPandas(run, "chunk_id int, node long, rep long")
 
 
+def segment_after(rows: pd.DataFrame, carried: tuple[pd.DataFrame, int] | None, min_size: int = 6) -> tuple[pd.DataFrame, tuple[pd.DataFrame, int]]:
+    """Segment a chunk so that regions keep their ids over chunks.
+
+    ``rows``: frame, y, x, c0, c1, c2. ``carried``: the last frame of the chunk before with the
+    ``region_id`` of each voxel, and the first free id. That frame joins the graph pinned to
+    its ids: members of one id are one region before the pass, regions of two ids never merge,
+    and what drifted apart is freed. A region that holds carried voxels keeps their id, others
+    get the next free ones in order of their first voxel. Returns (frame, y, x, region_id) of
+    the chunk's own frames and what the next chunk is to get.
+    """
+    before, free = (None, 0) if carried is None else carried
+    own = rows.assign(region_id=-1)
+    both = own if before is None else pd.concat([before, own])
+    both = both.sort_values(["frame", "y", "x"], kind="stable").reset_index(drop=True)
+    at, colours = both[["frame", "y", "x"]].to_numpy(), both[["c0", "c1", "c2"]].to_numpy(float)
+    pins = both["region_id"].tolist()
+    forest = Forest(colours, pins)
+    join_pinned(forest)
+    merge_edges(forest, grid_edges(at, colours), min_size)
+    ids: dict[int, int] = {}
+    roots = [forest.find(i) for i in range(len(at))]
+    used: set[int] = set()
+    for i, r in enumerate(roots):
+        if r not in ids and pins[i] >= 0 and forest.pinned[r] == pins[i] and pins[i] not in used:
+            ids[r] = pins[i]
+            used.add(pins[i])
+    for r in roots:
+        if r not in ids:
+            ids[r], free = free, free + 1
+    both["region_id"] = [ids[r] for r in roots]
+    mine = both if before is None else both[both["frame"] > before["frame"].max()]
+    last = mine[mine["frame"] == mine["frame"].max()]
+    return mine[["frame", "y", "x", "region_id"]].reset_index(drop=True), (last.reset_index(drop=True), free)
+
+
 def repair_n4(ids: np.ndarray) -> np.ndarray:
     """Row by row: where only a diagonal below shares the id, the pixel below takes it."""
     out = ids.copy()

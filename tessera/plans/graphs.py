@@ -243,6 +243,16 @@ query("b13_hierarchy_lookup", fx.with_views("tree scan_interval", "SELECT s.fram
 
 # ---- clustering kernels (order dependent) --------------------------------------------
 query("h08_dense_segmentation")(lambda spark, d: kernels.segment_voxels(fx.voxels(spark, d).withColumn("chunk_id", F.expr(f"cast(frame div {fx.CHUNK_STRIDE} as int)")), 8, 8))
+
+
+def _results(spark, d):
+    cut = fx.voxels(spark, d).withColumn("chunk_id", F.expr(f"cast(frame div {fx.CHUNK_STRIDE} as int)"))
+    both = edges("spatial", spark, d).select("src", "dst").unionByName(edges("temporal", spark, d).select("src", "dst"))
+    return kernels.results(graph.durable(kernels.segment_voxels(cut, 8, 8)), both, 8, 8)
+
+
+query("h15_segmentation_rasters")(lambda spark, d: _results(spark, d)[0])
+query("h15_segmentation_regions")(lambda spark, d: _results(spark, d)[1])
 query("h17_n4_repair")(lambda spark, d: kernels.enforce_n4(fx.labels(spark, d), 8, 8))
 
 

@@ -45,44 +45,58 @@ def min_region_size(width: int, height: int, size: int = 20, fraction: float = 0
 
 
 def in_chunks(frames: DataFrame, per_chunk: Callable[[int, int, pd.DataFrame], pd.DataFrame], schema: str, size: int = 20,
-              key: str = "video_id", order: str = "pts", idle: str | None = None, final: str | None = None) -> DataFrame:
+              key: str = "video_id", order: str = "pts", idle: str | None = None, final: str | None = None, carry: bool = False) -> DataFrame:
     """Apply ``per_chunk(video, chunk, rows)`` to each chunk of ``stride(size)`` frames.
 
     Frames of a video are numbered as they come; within one micro-batch by ``order``. A late
     frame (not after the last one seen) is dropped, as frames must increase. With ``idle``,
     a processing-time span, a video that has been silent for so long flushes its rest. With
     ``final``, a boolean column, the frame where it is true ends its video: what is left of the
-    last chunk comes out at once and the video's state goes.
+    last chunk comes out at once and the video's state goes. With ``carry``, ``per_chunk`` gets
+    what it returned for the chunk before as a fourth argument (None at first) and returns a
+    pair, the rows and what the next chunk is to get.
     """
     n = stride(size)
     columns = frames.columns
 
     def run(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, last, held = (state.get if state.exists else (0, None, b""))
-        rest = pickle.loads(held) if held else []
+        rest, carried = pickle.loads(held) if held else ([], None)
+
+        def done(chunk: int) -> pd.DataFrame:
+            nonlocal carried
+            frame = pd.DataFrame(rest, columns=["frame", *columns])
+            if not carry:
+                return per_chunk(group[0], chunk, frame)
+            out, carried = per_chunk(group[0], chunk, frame, carried)
+            return out
+
         if state.hasTimedOut:
             if rest:
-                yield per_chunk(group[0], number // n, pd.DataFrame(rest, columns=["frame", *columns]))
+                yield done((number - 1) // n)
             state.remove()
             return
         new = pd.concat(list(parts)).sort_values(order, kind="stable")
         at = columns.index(order)
-        seen = None
+        seen, ended = None, False
         for row in new.itertuples(index=False, name=None):
             if last is not None and row[at] <= last and row[at] != seen:
                 continue
+            if row[at] != seen and ended:
+                break
             if row[at] != seen:
                 seen = last = row[at]
                 number += 1
                 if (number - 1) % n == 0 and rest:
-                    yield per_chunk(group[0], (number - 2) // n, pd.DataFrame(rest, columns=["frame", *columns]))
+                    yield done((number - 2) // n)
                     rest = []
             rest.append((number - 1, *row))
-            if final and row[columns.index(final)]:
-                yield per_chunk(group[0], (number - 1) // n, pd.DataFrame(rest, columns=["frame", *columns]))
-                state.remove()
-                return
-        state.update((number, last, pickle.dumps(rest)))
+            ended = ended or bool(final and row[columns.index(final)])
+        if ended:
+            yield done((number - 1) // n)
+            state.remove()
+            return
+        state.update((number, last, pickle.dumps((rest, carried))))
         if idle:
             state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
 

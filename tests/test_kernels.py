@@ -118,3 +118,13 @@ def test_thin_structures():
     block = np.zeros((6, 6), int)
     block[2:5, 2:5] = 1
     assert (kernels.suppress_thin(block)[2:5, 2:5] == 1).sum() >= 5
+
+
+def test_results_are_rasters_and_neighbours(spark):
+    # Two frames of 2 x 3: region 0 is the left column over both, 1 the rest of frame 0, 7 of frame 1.
+    rep = {0: 0, 3: 0, 6: 0, 9: 0, 1: 1, 2: 1, 4: 1, 5: 1, 7: 7, 8: 7, 10: 7, 11: 7}
+    assign = spark.createDataFrame(list(rep.items()), "node long, rep long")
+    pairs = spark.createDataFrame([(0, 1), (1, 7), (3, 4), (10, 4), (1, 2)], "src long, dst long")
+    rasters, regions = kernels.results(assign, pairs, 3, 2)
+    assert sorted(tuple(r) for r in rasters.collect()) == sorted([(f, r, y, a, b) for f in (0, 1) for y in (0, 1) for r, a, b in ((0, 0, 0), ((1, 7)[f], 1, 2))])
+    assert {r["region_id"]: (r["size"], r["first"], r["last"], r["neighbours"]) for r in regions.collect()} == {0: (4, 0, 1, [1]), 1: (4, 0, 0, [0, 7]), 7: (4, 1, 1, [1])}

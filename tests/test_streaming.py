@@ -93,3 +93,27 @@ def test_the_last_partial_chunk_comes_out(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("tails").collect()) == want
     batch = chunks.all_chunks(df.withColumnRenamed("pts", "frame"), count, "video_id int, chunk_id int, n int")
     assert sorted(tuple(r) for r in batch.collect()) == want
+
+
+def test_region_ids_are_stable_over_chunks(spark, tmp_path):
+    """Two flat halves over three chunks keep their ids; a patch that appears gets a new one."""
+    rows = [(1, f, y, x, *((0.1,) * 3 if x < 4 else (0.8,) * 3), False) for f in range(50) for y in range(6) for x in range(8)]
+    rows = [(*r[:4], *((0.45,) * 3), r[7]) if r[1] >= 30 and r[2] < 3 and r[3] < 3 else r for r in rows]
+    rows[-1] = (*rows[-1][:7], True)
+    df = spark.createDataFrame(rows, "video_id int, pts long, y int, x int, c0 double, c1 double, c2 double, ends boolean")
+    df.filter("pts < 25").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    df.filter("pts >= 25").coalesce(1).write.parquet(f"{tmp_path}/in/1")
+
+    def segment(video, chunk, part, carried):
+        return kernels.segment_after(part[["frame", "y", "x", "c0", "c1", "c2"]], carried)
+
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = chunks.in_chunks(stream, segment, "frame int, y int, x int, region_id int", final="ends", carry=True)
+    q = out.writeStream.format("memory").queryName("carried").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert units.join_all([q], 120)
+    got = {(r["frame"], r["y"], r["x"]): r["region_id"] for r in spark.table("carried").collect()}
+    assert len(got) == 50 * 48
+    left, right, patch = got[0, 5, 0], got[0, 5, 7], got[40, 0, 0]
+    assert len({left, right, patch}) == 3
+    for (f, y, x), region in got.items():
+        assert region == (right if x >= 4 else patch if f >= 30 and y < 3 and x < 3 else left), (f, y, x)

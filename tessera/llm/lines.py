@@ -200,7 +200,8 @@ def mark_common_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         .mapInArrow(_align(min_block), "key string, gone array<int>")
         .groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     )
-    of_class = classes.select("key", "first", F.size("lines").alias("n_lines"), F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("chars")).join(gone, "key", "left")
+    # Cut here too: rows of one text, however many, meet their class in a join that can be split.
+    of_class = durable(classes.select("key", "first", F.size("lines").alias("n_lines"), F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("chars")).join(gone, "key", "left"))
     every = F.sequence(F.lit(0), F.col("n_lines") - 1)
     whole = (F.col("id") > F.col("first")) & (F.col("chars") >= min_block)
     return rows.select("id", "key").distinct().join(of_class, "key").select(

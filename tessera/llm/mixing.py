@@ -49,7 +49,8 @@ BUCKETS, MAX_DOMAINS = 1 << 16, 16
 TOKEN = r"\s+|(?<=\p{L})(?=[^\p{L}\s])"
 #: Tokens wanted of each labelled domain (quality, toxic), as a factor of what is there.
 FACTORS = {"q1_t0": 1.1, "q0_t0": 0.5, "q1_t1": 0.0, "q0_t1": 0.0}
-Model = tuple[list[str], list[float], list[dict[int, float]]]
+#: Domain names, their log odds when nothing is present, and (b, w0, w1, ...): what a present bucket adds.
+Model = tuple[list[str], list[float], DataFrame | None]
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -70,14 +71,14 @@ def _words(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_domain: int = 1500, sigmas: float = 4.0, support: float = 0.02, shrink: float = 2.0) -> Model:
-    """Domain names, their log odds when nothing is present, and what each present bucket adds."""
+    """Model of the labelled documents; its table has at most BUCKETS rows."""
     named = domains_of(labels)
     total = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).limit(MAX_DOMAINS + 1).collect()}
     if len(total) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     names = sorted(total)
     if not names:
-        return [], [], []
+        return [], [], None
     rate = F.coalesce(*[F.when(F.col("domain") == d, F.lit(min(1.0, per_domain / total[d]))) for d in names])
     draw = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = named.filter(draw < rate)
@@ -88,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, per_domain: int = 1500, sigmas: fl
     size = {r["domain"]: r["n"] for r in present.groupBy("domain").agg(F.count_distinct("doc_id").alias("n")).collect()}
     every = sum(size.values())
     if not every:
-        return [], [], []
+        return [], [], None
     df = [F.count_if(F.col("domain") == d).cast("double").alias(f"f{i}") for i, d in enumerate(names)]
     by_bucket = present.filter("b is not null").groupBy("b").agg(*df)
     share = sum(F.col(f"f{i}") for i in range(len(names))) / float(every)
@@ -99,21 +100,18 @@ def train(docs: DataFrame, labels: DataFrame, per_domain: int = 1500, sigmas: fl
         own = F.least(F.lit(0.99), share * (F.col(f"f{i}") + shrink) / (expected + shrink))
         top = F.least(F.lit(0.99), share)
         out += [F.ln(own / top).alias(f"p{i}"), F.ln((1.0 - own) / (1.0 - top)).alias(f"a{i}")]
-    # Rows: at most one for each bucket, and only telling ones.
-    telling = by_bucket.filter(keep).select("b", *out).collect()
-    base = [math.log(total[d] / sum(total.values())) + sum(r[f"a{i}"] for r in telling) for i, d in enumerate(names)]
-    return names, base, [{r["b"]: r[f"p{i}"] - r[f"a{i}"] for r in telling} for i in range(len(names))]
+    telling = durable(by_bucket.filter(keep).select("b", *out))
+    absent = telling.agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in range(len(names))]).first()
+    base = [math.log(total[d] / sum(total.values())) + (absent[f"a{i}"] or 0.0) for i, d in enumerate(names)]
+    return names, base, telling.select("b", *[(F.col(f"p{i}") - F.col(f"a{i}")).alias(f"w{i}") for i in range(len(names))])
 
 
 def memberships(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, p array) per id. The telling buckets, at most BUCKETS rows, are
     broadcast."""
-    names, base, weights = model
+    names, base, table = model
     words = _words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    telling = [(b, *(float(w.get(b, 0.0)) for w in weights)) for b in sorted(set().union(*weights))]
-    columns = "".join(f", w{i} double" for i in range(len(names)))
-    table = docs.sparkSession.createDataFrame(telling, f"b int{columns}").coalesce(1)
-    told = words.join(F.broadcast(table), "b", "left")
+    told = words.join(F.broadcast(table), "b", "left") if table is not None else words
     sums = told.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), *[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(names))])
     logits = F.array(*[F.lit(base[i]) + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(len(names))]) if names else F.array().cast("array<double>")
     top = sums.select("doc_id", "n_tokens", logits.alias("z")).withColumn("m", F.array_max("z"))
@@ -172,7 +170,7 @@ def fit_rates(units: DataFrame, factors: list[float], ridge: float = 0.02, toler
 def fitted(docs: DataFrame, labels: DataFrame, factors: dict[str, float] | None = None) -> tuple[DataFrame, list[str], list[float], list[float]]:
     """Rates as ``document_rates``, the domains, and the token shares reached and wanted."""
     model = train(docs, labels)
-    units = durable(memberships(docs, model)) if model[0] else memberships(docs, ([], [], []))
+    units = durable(memberships(docs, model)) if model[0] else memberships(docs, ([], [], None))
     wanted = FACTORS if factors is None else factors
     rates, reached, goal = fit_rates(units, [wanted.get(d, 1.0) for d in model[0]])
     return rates, model[0], reached, goal

@@ -122,11 +122,13 @@ def memberships(docs: DataFrame, model: Model) -> DataFrame:
 def _unprojected(gram: list[list[float]], at: list[float], start: list[float], goal: list[float], factors: list[float], ridge: float) -> list[float]:
     """Where gradient steps lead while the documents with positive rates stay the same."""
     eta, k = 1.0 / (1.0 + ridge), range(len(at))
-    while True:
+    # The gradient shrinks by the ridge's share at least, so this many steps end below 1e-12.
+    for _ in range(int(60 * (1.0 + ridge) / ridge)):
         pull = [(sum(gram[d][e] * at[e] for e in k) - goal[d]) / start[d] + ridge * (at[d] - factors[d]) for d in k]
         if max(map(abs, pull)) < 1e-12:
             return at
         at = [x - eta * g for x, g in zip(at, pull)]
+    return at
 
 
 def fit_rates(units: DataFrame, factors: list[float], ridge: float = 0.02, tolerance: float = 1e-6, most: int = 100) -> tuple[DataFrame, list[float], list[float]]:

@@ -54,3 +54,62 @@ def test_empty_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (3, "x y z")], "doc_id long, text string")
     assert sorted((r["doc_id"] for r in similar.drop_similar(df).collect()), key=str) == [1, 3, None]
     assert similar.drop_similar(df.limit(0)).count() == 0
+
+
+def differing(a, b):
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def test_prints_are_majorities_and_cells_the_nearest_pivots():
+    r = np.random.default_rng(5)
+    one, two = (r.integers(0, 1 << 64, 1, dtype=np.uint64) for _ in range(2))
+    many = r.integers(0, 1 << 64, 601, dtype=np.uint64)
+    bits = lambda x: np.unpackbits(x.view(np.uint8), bitorder="little")
+    votes = sum(bits(similar.prints(many[k : k + 1], 3)).astype(int) for k in range(len(many)))
+    assert (bits(similar.prints(many, 3)) == (2 * votes > len(many))).all()
+    assert not (bits(similar.prints(np.concatenate([one, two]), 3)) & ~bits(similar.prints(one, 3))).any()
+    refs = r.integers(0, 1 << 64, (2, 50), dtype=np.uint64)
+    found = similar.prints(many, 3)
+    for k, cells in enumerate(similar.pivot_cells(found, refs, 4).reshape(3, 4)):
+        ranked = sorted(range(50), key=lambda p: (differing(found[k], refs[:, p]), p))
+        assert {int(c) for c in cells} == {50 * k + p for p in ranked[:4]}
+
+
+def test_pairs_at_the_threshold_share_a_cell_and_lie_within_the_radius():
+    r = np.random.default_rng(6)
+    refs = similar.reference_fingerprints(8192).reshape(2, 4096)
+    for common, left, right in [(240, 30, 30), (240, 60, 0), (40, 5, 5), (8, 1, 1)] * 25:
+        x = r.integers(0, 1 << 64, common + left + right, dtype=np.uint64)
+        ends = [similar.prints(s, 18) for s in (x[: common + left], np.concatenate([x[:common], x[common + left :]]))]
+        cells = [similar.pivot_cells(p, refs, 4).reshape(18, 4).tolist() for p in ends]
+        assert any(set(cells[0][k]) & set(cells[1][k]) and differing(ends[0][(k + 1) % 18], ends[1][(k + 1) % 18]) <= 40 for k in range(18))
+
+
+def test_close_groups_against_all_pairs():
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 64, (6, 2), dtype=np.uint64)
+    n = 300
+    pick, cell, size = r.integers(0, 6, n), r.integers(0, 9, n), r.choice([10, 12, 13, 16, 30], n)
+    flips = np.packbits(r.random((n, 128)) < 0.1, axis=1).view(np.uint64)
+    words = base[pick] ^ flips
+    order = np.lexsort((size, cell))
+    cell, size, words = cell[order], size[order], words[order]
+    want = list(range(n))
+    for _ in range(n):
+        before = list(want)
+        for i in range(n):
+            for j in range(i):
+                if cell[i] == cell[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and differing(words[i], words[j]) <= 25:
+                    want[i] = want[j] = min(want[i], want[j])
+        if want == before:
+            break
+    top = similar.close_groups(cell, size, words[:, 0], words[:, 1], 25)
+    assert len(set(zip(top.tolist(), want))) == len(set(want)) == len(set(top.tolist())) < n
+
+
+def test_stage_links_only_what_its_fingerprints_bring_together(spark):
+    rows = texts(60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in similar.drop_similar(df, cell_prints=2).collect()) == sorted(brute(rows))
+    apart = {" ".join((t or "").lower().split()) for _, t in rows}
+    assert similar.drop_similar(df, radius=-1).count() == len(apart) > len(brute(rows))

@@ -13,11 +13,15 @@ document in the cells of the ``nearest`` ones. Two documents that share a cell a
 more than ``cell_prints`` members are compared in tiles. With 18 words, 4096 pivots and 4
 nearest a pair of similarity 0.8 is missed with probability about 1e-5 (simulated).
 
-What is close in a cell, directly or through others, is a bucket. Buckets with the same
-members count once. Every link is verified: the sets are intersected in full. First each
-member is held against the head of its bucket; a bucket whose members are then still in
-several components is compared pair by pair, in tiles where it is large, so no pair of a
-bucket is left out.
+What is close in a cell, directly or through others, is a bucket; one with the same members
+in several cells counts once. Within a bucket all pairs are held against each other by their whole
+fingerprints; those beyond ``limits`` (five standard deviations above the mean at 0.8, so
+one at 0.8 is lost with probability 3e-7) are no candidates. Every link is verified: the
+sets are intersected in full. First that goes for the nearest pairs that span the candidates
+of a bucket, then, where they leave it in several components, for each component's nearest
+pairs to others, more of them each round, until none is left. So no candidate between two
+components stays unverified. Copies that are linked cost rows in proportion to their number;
+pairs within the limits that are below 0.8 and lie between components cost a row each.
 
 Null text counts as empty text. Empty input gives an empty result.
 """
@@ -37,6 +41,8 @@ from tessera.llm.simhash import reference_fingerprints
 
 SLICE = 255
 HELD = 65_536
+#: Ids that may be sent to every task (8 bytes each).
+SENT = 1 << 20
 
 
 def shingles(text: bytes | None, width: int = 5) -> tuple[int, np.ndarray]:
@@ -51,15 +57,19 @@ def shingles(text: bytes | None, width: int = 5) -> tuple[int, np.ndarray]:
     return name, np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64 finalizer."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def prints(hashes: np.ndarray, words: int) -> np.ndarray:
     """SimHash fingerprint of a set of hashes: ``words`` rows of two unsigned longs."""
     steps = np.arange(1, 2 * words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     votes = np.zeros(128 * words, np.int64)
     for k in range(0, len(hashes), SLICE):
-        x = hashes[k : k + SLICE, None] + steps
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
+        x = mixed(hashes[k : k + SLICE, None] + steps)
         votes += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8").reshape(words, 2)
 
@@ -128,13 +138,16 @@ def close_groups(cell: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.nd
 
 
 def _close(radius: int):
-    """mapInArrow over rows (cell, size, one, two, cid) sorted by cell and size: members of
-    the groups of two or more."""
+    """mapInArrow over rows (cell, size, one, two, cid) sorted by cell and size: (cid, key) of
+    the members of groups of two or more. The key is a hash of the members, so a group is
+    the same bucket from whatever cell; were two to share one, they would be held together."""
     def solve(part: list[np.ndarray]) -> pa.RecordBatch:
         cell, size, one, two, cid = part
         top = close_groups(cell, size, one.view(np.uint64), two.view(np.uint64), radius)
         shared = np.bincount(top, minlength=len(top))[top] > 1
-        return pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (cell, cid[top], cid)], names=["cell", "top", "cid"])
+        key = np.zeros(len(top), np.uint64)
+        np.add.at(key, top, mixed(cid.view(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (cid, key[top].view(np.int64))], names=["cid", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -214,8 +227,114 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done
 
 
+def limits(size: np.ndarray, words: int) -> np.ndarray:
+    """Most bits of ``words`` words in which two sets of similarity 0.8 differ, the smaller
+    one of this size."""
+    share = np.where(size < 8, 0.19, np.where(size < 32, 0.161, 0.153))
+    return 128 * words * share + 5 * np.sqrt(128 * words * share * (1 - share))
+
+
+def _reach(i: int, size: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Differing bits of row i and every row; infinite where the pair is no candidate."""
+    small, large = np.minimum(size, size[i]), np.maximum(size, size[i])
+    bits = np.bitwise_count(found ^ found[i]).sum(axis=1, dtype=np.int64).astype(float)
+    bits[(4 * large > 5 * small) | (bits > limits(small, found.shape[1] // 2))] = np.inf
+    return bits
+
+
+def spanning_pairs(size: np.ndarray, found: np.ndarray) -> list[tuple[int, int]]:
+    """Index pairs, the nearest ones, that span what the candidate pairs of a bucket connect."""
+    best, via, left = np.full(len(size), np.inf), np.full(len(size), -1), np.ones(len(size), bool)
+    out = []
+    for _ in range(len(size)):
+        i = int(np.argmin(np.where(left, best, np.inf)))
+        if left[i] and np.isfinite(best[i]):
+            out.append((int(via[i]), i))
+        else:
+            i = int(np.argmax(left))
+        left[i] = False
+        bits = _reach(i, size, found)
+        nearer = left & (bits < best)
+        best[nearer], via[nearer] = bits[nearer], i
+    return out
+
+
+def crossing_pairs(size: np.ndarray, found: np.ndarray, comp: np.ndarray, most: int, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate pairs between components: the ``most`` nearest ones of each component, and
+    whether there are more."""
+    pairs, more = np.empty((3, 0)), False
+
+    def nearest(pairs: np.ndarray) -> np.ndarray:
+        pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0]))]
+        n = pairs.shape[1]
+        ends = np.concatenate([comp[pairs[1].astype(int)], comp[pairs[2].astype(int)]])
+        order = np.lexsort((np.tile(np.arange(n), 2), ends))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(ends[order]) != 0]))
+        rank = np.empty(2 * n, np.int64)
+        rank[order] = np.arange(2 * n) - np.repeat(starts, np.diff(np.concatenate([starts, [2 * n]])))
+        return pairs[:, (rank[:n] < most) | (rank[n:] < most)]
+
+    parts, rows = [pairs], 0
+    for i in range(len(size)):
+        bits = _reach(i, size, found)
+        j = np.flatnonzero(np.isfinite(bits) & (comp != comp[i]))
+        j = j[j > i]
+        parts.append(np.stack([bits[j], np.full(len(j), float(i)), j.astype(float)]))
+        rows += len(j)
+        if rows >= held or i == len(size) - 1:
+            pairs = np.concatenate(parts, axis=1)
+            if pairs.shape[1]:
+                kept = nearest(pairs)
+                more, pairs = more or kept.shape[1] < pairs.shape[1], kept
+            parts, rows = [pairs], 0
+    return pairs[1].astype(int), pairs[2].astype(int), more
+
+
+def _bucketwise(solve, names: list[str]):
+    """mapInArrow over rows (key, cid, size, comp, print) sorted by key: ``solve`` of each
+    bucket's (key, cid, size, comp, prints) gives columns of longs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(part: list[np.ndarray]) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.concatenate([[True], part[0][1:] != part[0][:-1], [True]]))
+            found = [solve(*(x[a:b] for x in part)) for a, b in zip(cuts[:-1], cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], names=names)
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            part.append(batch.column(4).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1))
+            held.append(part)
+            if held[0][0][0] == part[0][-1]:
+                continue
+            part = [np.concatenate(x) for x in zip(*held)]
+            last = int(np.searchsorted(part[0], part[0][-1]))
+            yield solved([x[:last] for x in part])
+            held = [[x[last:] for x in part]]
+        if held:
+            yield solved([np.concatenate(x) for x in zip(*held)])
+
+    return run
+
+
+def _spans(key, cid, size, comp, found):
+    at = np.array(spanning_pairs(size, found), np.int64).reshape(-1, 2)
+    return np.full(len(at), key[0]), cid[at].min(axis=1), cid[at].max(axis=1)
+
+
+def _crossings(most: int):
+    """Rows (a, b); a row whose ends are equal says that a bucket has more."""
+    def solve(key, cid, size, comp, found):
+        i, j, more = crossing_pairs(size, found, comp, most)
+        mark = cid[:1] if more else cid[:0]
+        return np.concatenate([np.minimum(cid[i], cid[j]), mark]), np.concatenate([np.maximum(cid[i], cid[j]), mark])
+
+    return solve
+
+
 def close_buckets(classes: DataFrame, words: int, pivots: int, nearest: int, radius: int, cell_prints: int) -> DataFrame:
-    """(cid, key) of classes whose fingerprints are close in a cell; one key for each group.
+    """(cid, key) of classes whose fingerprints are close in a cell; one key for each set of members.
     ``classes``: ``cid``, ``size``, ``print``, ``cells``."""
     large = classes.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_prints)
     # The word after the cell's own one is held against others.
@@ -227,43 +346,61 @@ def close_buckets(classes: DataFrame, words: int, pivots: int, nearest: int, rad
     tiled = placed.join(F.broadcast(large), "cell", "left").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     rows = tiled.select("cell", "size", "one", "two", "cid", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
         F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "size", "one", "two", "cid")
-    met = rows.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(_close(radius), "cell long, top long, cid long")
-    return met.select("cid", F.xxhash64("cell", "top").alias("key"))
-
-
-def similar_links(docs: DataFrame, classes: DataFrame, placed: DataFrame, width: int, cell_rows: int) -> DataFrame:
-    """Links (a, b) between classes of similarity 0.8 or more that share a bucket; they
-    connect what all such pairs connect. ``classes``: ``cid``, ``node``; ``placed``:
-    ``cid``, ``key`` of the bucket."""
-    own = lambda seed: F.bit_xor(F.xxhash64("cid", F.lit(seed)))
-    buckets = (
-        placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("head"), own(1).alias("d1"), own(2).alias("d2")).filter("n > 1")
-        .groupBy("n", "head", "d1", "d2").agg(F.min("key").alias("key")).select("key", "n", "head")
-    )
-    members = durable(placed.join(buckets, "key"))
-    wanted = durable(members.select("cid").distinct().join(classes.select("cid", "node"), "cid"))
-    texts = docs.join(wanted.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("text")
+    return rows.repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(_close(radius), "cid long, key long").distinct()
+
+
+def verified(pairs: DataFrame, named: DataFrame | None, sets: DataFrame, cell_rows: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are of similarity 0.8 or more and unite components;
+    ``cell_rows`` partners of one class at most are held against it at once."""
+    tiles = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("tiles"))
+    cells = pairs.join(tiles, "a").select("b", "a", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("tiles"))).alias("cell"))
+    rows = cells.select("cell", F.lit(0).alias("side"), F.col("a").alias("cid")).distinct().unionByName(cells.select("cell", F.lit(1).alias("side"), F.col("b").alias("cid")))
+    rows = labelled(rows, named).join(sets, "cid").select("cell", "side", "comp", "cid", "shingles")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long")
+
+
+def labelled(rows: DataFrame, named: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of their ``cid``."""
+    if named is None:
+        return rows.withColumn("comp", F.col("cid"))
+    return rows.join(named.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+
+
+def similar_components(docs: DataFrame, classes: DataFrame, placed: DataFrame, width: int, cell_rows: int) -> DataFrame:
+    """(node, component) of classes linked by pairs of similarity 0.8 or more that share a
+    bucket. ``classes``: ``cid``, ``node``, ``size``, ``print``; ``placed``: ``cid``,
+    ``key`` of the bucket."""
+    members = durable(placed.join(classes.select("cid", "size", "print"), "cid"))
+    solved = lambda rows, solve, names: rows.select("key", "cid", "size", "comp", "print").repartition("key").sortWithinPartitions("key").mapInArrow(
+        _bucketwise(solve, names), ", ".join(f"{x} long" for x in names))
+    spans = durable(solved(labelled(members, None), _spans, ["key", "a", "b"]))
+    tested = durable(spans.select("a", "b").distinct())
+    wanted = durable(tested.select(F.col("a").alias("cid")).unionByName(tested.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "node"), "cid"))
+    texts = semi(docs, wanted.select(F.col("node").alias("id")), "id", "left_semi").select("text")
     sets = durable(texts.mapInArrow(_sets(width), "cid long, shingles array<long>").dropDuplicates(["cid"]).join(wanted.select("cid"), "cid", "left_semi"))
-    pairs = members.filter("cid <> head").select("cid", "head").distinct()
-    both = F.size(F.array_intersect("mine", "theirs"))
-    first = durable(
-        pairs.join(sets.select("cid", F.col("shingles").alias("mine")), "cid")
-        .join(sets.select(F.col("cid").alias("head"), F.col("shingles").alias("theirs")), "head")
-        .filter(both * 9 >= (F.size("mine") + F.size("theirs")) * 4).select(F.col("cid").alias("a"), F.col("head").alias("b"))
-    )
-    # Members that lead to one head, at once or through the head's own, are known to be linked.
-    lead = first.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("b"))
-    far = lead.join(lead.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("cid"), F.coalesce("c", "b").alias("comp"))
-    at = durable(members.join(far, "cid", "left").select("key", "n", "cid", F.coalesce("comp", "cid").alias("comp")))
-    open_ = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    tiles = F.ceil(F.col("n") / cell_rows).cast("int")
-    tiled = at.join(open_, "key").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")).select(
-        "key", "cid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    rest = tiled.select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "comp", "cid").join(sets, "cid")
-    second = rest.select("cell", "side", "comp", "cid", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "a long, b long")
-    return durable(first.unionByName(second))
+    links = durable(verified(tested, None, sets, cell_rows))
+    most = 8
+    while True:
+        named = durable(components(links, "a", "b"))
+        # All candidates of a bucket lie in the trees of its spanning pairs.
+        ends = labelled(labelled(spans.withColumnRenamed("a", "cid"), named).select("key", F.col("comp").alias("one"), F.col("b").alias("cid")), named)
+        open_ = durable(ends.filter("one <> comp").select("key").distinct())
+        if open_.isEmpty():
+            return named
+        found = durable(solved(labelled(members.join(open_, "key", "left_semi"), named), _crossings(most), ["a", "b"]))
+        new = durable(found.filter("a <> b").distinct().join(tested, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links = durable(links.unionByName(verified(new, named, sets, cell_rows)))
+            tested = tested.unionByName(new)
+        if found.filter("a = b").isEmpty():
+            return components(links, "a", "b")
+        most *= 8
+
+
+def semi(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of texts with ids: the texts stay where they are if the ids are few
+    enough to be sent to them."""
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, key, how)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, words: int = 18, pivots: int = 4096,
@@ -276,10 +413,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     signed = durable(plain.mapInArrow(_signed(width, words), "id long, cid long, size int, print array<long>"))
     one = signed.groupBy("cid").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("print").alias("print"))
     classes = durable(one.mapInArrow(_celled(words, pivots, nearest), "cid long, node long, size int, print array<long>, cells array<int>"))
-    placed = durable(close_buckets(classes, words, pivots, nearest, radius, cell_prints))
-    named = components(similar_links(plain, classes, placed, width, cell_rows), "a", "b")
+    placed = close_buckets(classes, words, pivots, nearest, radius, cell_prints)
+    named = similar_components(plain, classes, placed, width, cell_rows)
     keep = classes.join(named.withColumnRenamed("node", "cid"), "cid", "left").groupBy(F.coalesce("component", "cid")).agg(F.min("node").alias(id_col)).select(id_col)
-    kept = docs.join(durable(keep.distinct()), id_col, "left_semi")
+    gone = durable(signed.select(F.col("id").alias(id_col)).distinct().join(keep, id_col, "left_anti"))
+    kept = semi(docs.filter(F.col(id_col).isNotNull()), gone, id_col, "left_anti")
     if signed.groupBy("id").count().filter("count > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)

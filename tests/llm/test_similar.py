@@ -113,3 +113,87 @@ def test_stage_links_only_what_its_fingerprints_bring_together(spark):
     assert sorted(r["doc_id"] for r in similar.drop_similar(df, cell_prints=2).collect()) == sorted(brute(rows))
     apart = {" ".join((t or "").lower().split()) for _, t in rows}
     assert similar.drop_similar(df, radius=-1).count() == len(apart) > len(brute(rows))
+
+
+def bucket(n=120, seed=8):
+    """Sizes and prints of sets around the threshold, from one base."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 1 << 64, 100, dtype=np.uint64)
+    sets = []
+    for _ in range(n):
+        x = base.copy()
+        at = r.choice(100, r.integers(0, 22), replace=False)
+        x[at] = r.integers(0, 1 << 64, len(at), dtype=np.uint64)
+        sets.append(np.unique(x[: r.integers(84, 101)]))
+    return sets, np.array([len(x) for x in sets]), np.array([similar.prints(x, 18).ravel() for x in sets])
+
+
+def near(size, found, i, j):
+    small, large = sorted((size[i], size[j]))
+    return 4 * large <= 5 * small and differing(found[i], found[j]) <= similar.limits(np.array(small), 18)
+
+
+def joined(n, pairs):
+    top = list(range(n))
+    for i, j in pairs:
+        a, b = top[i], top[j]
+        top = [a if t == b else t for t in top]
+    return {frozenset(k for k in range(n) if top[k] == t) for t in top}
+
+
+def test_similar_sets_are_candidates_and_spanning_pairs_connect_them():
+    sets, size, found = bucket()
+    n = len(sets)
+    pairs = [(i, j) for i in range(n) for j in range(i) if near(size, found, i, j)]
+    same = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    alike = {(i, j) for i in range(n) for j in range(i) if 9 * same(i, j) >= 4 * (size[i] + size[j])}
+    assert alike <= set(pairs) and 100 < len(alike) < len(pairs) < n * (n - 1) // 2
+    got = similar.spanning_pairs(size, found)
+    assert all(near(size, found, i, j) for i, j in got)
+    assert joined(n, got) == joined(n, pairs) and len(got) == n - len(joined(n, pairs))
+
+
+def test_crossing_pairs_are_the_nearest_and_all_in_the_end():
+    _, size, found = bucket(60)
+    comp = np.random.default_rng(9).integers(0, 25, 60)
+    want = sorted((differing(found[i], found[j]), i, j) for j in range(60) for i in range(j) if comp[i] != comp[j] and near(size, found, i, j))
+    for held in (1, 50, 1 << 20):
+        i, j, more = similar.crossing_pairs(size, found, comp, len(want), held)
+        assert sorted(zip(i, j)) == sorted(x[1:] for x in want) and not more
+        i, j, more = similar.crossing_pairs(size, found, comp, 2, held)
+        few = {x[1:] for c in set(comp.tolist()) for x in [x for x in want if c in (comp[x[1]], comp[x[2]])][:2]}
+        assert set(zip(i.tolist(), j.tolist())) == few and more
+
+
+def test_rows_grow_with_the_members_of_a_group_not_with_their_square(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for k in r.sample(range(150), r.randint(2, 6)):
+            w[k] = f"changed{i}x{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, read = DataFrame.mapInArrow, []
+
+    def counted(self, func, schema, *more):
+        if schema == "a long, b long":
+            read.append(self.count())
+        return plain(self, func, schema, *more)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    got = similar.drop_similar(df, cell_rows=8)
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(brute(rows))
+    assert read and max(read) <= 18 * 4 * len(rows)
+
+
+def test_ids_too_many_to_send_give_the_same_rows(spark, monkeypatch):
+    rows = texts(60) + [(3, "repeated"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda out: sorted(str(x["doc_id"]) for x in out.collect())
+    sent = key(similar.drop_similar(df))
+    monkeypatch.setattr(similar, "SENT", 0)
+    assert key(similar.drop_similar(df)) == sent

@@ -2,6 +2,7 @@
 
 from itertools import combinations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.functions import pixel
@@ -31,6 +32,22 @@ def test_boxes_cross_beyond_the_first_ids(spark, tmp_path):
     assert got == want and any(i >= 120 for i, _ in want)
 
 
+def test_boxes_of_odd_vectors_cross_as_in_sql(spark, tmp_path):
+    """Repeated ids, ties at a box's edge, vectors that are short, null or not finite."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [0.05 * (i % 11) - 0.25, 0.025 * (i % 13) - 0.15]) for i in range(80)] + [(i, [0.3, 0.1 * i]) for i in (3, 3, 4, 90, 90)]
+    odd = [[nan, 0.1], [nan, 0.1], [nan, nan], [nan, nan], [inf, 0.0], [inf, 0.05], [-inf, 0.0], [0.1, -inf], [0.2, -inf], [1e300, 0.0], [1e300, 1.0], [-0.0, 0.0], [0.1], [], None, [None, 0.1]]
+    rows += [(100 + i, v) for i, v in enumerate(odd)] + [(None, [0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df = catalog.queries()["e14_boxes_cross"](spark, str(tmp_path))
+    got, want = sorted(tuple(r) for r in df.select("a", "b").collect()), sorted(con.execute(catalog.oracle_sql()["e14_boxes_cross"]).fetchall())
+    assert got == want and (100, 101) in want and (104, 105) in want
+    # The pairs of ids that stand once are not gathered to be made distinct.
+    assert df._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
 def test_positions_are_ranks_over_all_partitions(spark):
     df = spark.range(0, 3000, 7).selectExpr("id * 31 % 2999 as k").distinct()
     got = {r["k"]: r["position"] for r in graph.positions(df, "k").collect()}

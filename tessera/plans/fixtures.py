@@ -87,15 +87,40 @@ def project_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_type").alias("label"), (k * 65793).alias("color"), (F.col("event_id") % 24).cast("int").alias("id"), "event_id")
 
 
+# Rows of lineitem to a task of the region graph, so that its memory does not grow with the table.
+TASK_ROWS = 1 << 18
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the region graph. Counting rows of parquet reads no column."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
+
+
+def region_links(spark: SparkSession, sf_dir: str, parts: int | None = None, weighted: bool = True) -> DataFrame:
+    """Edges of V9, once for each row of src in an order with dst. The mean of a supplier goes
+    to the rows of lineitem, not to the edges, of which there are more."""
+    li = table(spark, sf_dir, "lineitem")
+    some = li.select("l_orderkey", "l_suppkey")
+    if weighted:
+        some = some.join(li.groupBy("l_suppkey").agg(F.avg("l_discount").alias("m")), "l_suppkey")
+    some = some.repartition(parts or _parts(spark, sf_dir), "l_orderkey")
+    end = lambda t, k, n: t.withColumnsRenamed({"l_suppkey": k, "m": n})
+    # Repeated lines meet each other supplier of the order once, not each of its lines.
+    once = end(some.dropDuplicates(["l_orderkey", "l_suppkey"]), "dst", "md")
+    both = end(some, "src", "ms").hint("merge").join(once, "l_orderkey").filter("src < dst")
+    weight = F.round(F.least(F.lit(1.0), 10.0 * F.abs(F.col("ms") - F.col("md"))), 9).alias("weight") if weighted else None
+    return both.select("src", "dst", *[weight] * weighted)
+
+
+def region_pairs(spark: SparkSession, sf_dir: str, weighted: bool = False) -> DataFrame:
+    """Edges of V9 without their weights."""
+    parts = _parts(spark, sf_dir)
+    return region_links(spark, sf_dir, parts, weighted).repartition(parts, "src", "dst").dropDuplicates(["src", "dst"])
+
+
 def region_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9: suppliers that share an order, weighted by how far their discounts are."""
-    li = table(spark, sf_dir, "lineitem")
-    node = li.groupBy("l_suppkey").agg(F.avg("l_discount").alias("m"))
-    some = li.select("l_orderkey", "l_suppkey").distinct()
-    pair = some.alias("a").join(some.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey"))).select(
-        F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).distinct()
-    m = lambda k, n: node.select(F.col("l_suppkey").alias(k), F.col("m").alias(n))
-    return pair.join(m("src", "ms"), "src").join(m("dst", "md"), "dst").select("src", "dst", F.round(F.least(F.lit(1.0), 10.0 * F.abs(F.col("ms") - F.col("md"))), 9).alias("weight"))
+    return region_pairs(spark, sf_dir, weighted=True)
 
 
 def region_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ _view("k18_point_helpers", "voxels", fx.voxels, {**KEY, "tx": (lambda: F.col("fx
       "ry": (lambda: r6(F.sin(F.lit(0.5)) * F.col("fx") + F.cos(F.lit(0.5)) * F.col("fy")), "round(sin(0.5e0) * fx + cos(0.5e0) * fy, 6)"),
       "nx": (lambda: r6(F.try_divide(F.col("fx"), F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")))), "round(fx / nullif(sqrt(fx * fx + fy * fy), 0), 6)"),
       "hx": (lambda: r6(F.when(F.col("c2") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("fx"), F.col("c2")))), "round(CASE WHEN c2 = 0 THEN 0e0 ELSE fx / c2 END, 6)")})
-_view("k19_unordered_keys", "region_graph", fx.region_graph, {"lo": (lambda: F.least("src", "dst"), "least(src, dst)"), "hi": (lambda: F.greatest("src", "dst"), "greatest(src, dst)"), "key": (lambda: F.least("src", "dst") * 1000003 + F.greatest("src", "dst"), "least(src, dst) * 1000003 + greatest(src, dst)")})
+_view("k19_unordered_keys", "region_graph", fx.region_pairs, {"lo": (lambda: F.least("src", "dst"), "least(src, dst)"), "hi": (lambda: F.greatest("src", "dst"), "greatest(src, dst)"), "key": (lambda: F.least("src", "dst") * 1000003 + F.greatest("src", "dst"), "least(src, dst) * 1000003 + greatest(src, dst)")})
 _view("k21_string_printf", "frame_stream", fx.frame_stream, {"video_id": _k("video_id"), "name": (lambda: F.format_string("frame%05d.pbtxt", F.col("frame")), "printf('frame%05d.pbtxt', frame)")})
 _view("k24_channels", "nation", lambda s, d: fx.table(s, d, "nation"), {"n_nationkey": _k("n_nationkey"),
       "channels": (lambda: px.channels(F.element_at(F.array(*[F.lit(k) for k in px.CHANNELS]), (F.col("n_nationkey") % 8 + 1).cast("int"))), "CASE n_nationkey % 8 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 4 END")})

@@ -40,7 +40,7 @@ def lines(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", GRAPH)
 def test_region_graph_queries_as_in_sql(spark, lines, name, monkeypatch):
-    monkeypatch.setattr(fixtures, "TASK_ROWS", 50, raising=False)
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 50)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{lines}/lineitem.parquet/*.parquet'")
     df = catalog.queries()[name](spark, lines)
@@ -49,6 +49,12 @@ def test_region_graph_queries_as_in_sql(spark, lines, name, monkeypatch):
     assert sorted(repr(tuple(r)) for r in df.select(*[c[0] for c in res.description]).collect()) == want and want
 
 
+@pytest.mark.parametrize("make", [fixtures.region_graph, fixtures.region_pairs])
+def test_tasks_of_the_region_graph_grow_with_the_table(spark, lines, make, monkeypatch):
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 50)
+    assert make(spark, lines).rdd.getNumPartitions() == 19
+
+
 def plan(spark, d, name):
     return catalog.queries()[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
 
@@ -57,6 +63,11 @@ def test_buckets_make_the_graph_once(spark, lines):
     assert plan(spark, lines, "h22_region_buckets").count("Join ") == 3
 
 
+@pytest.mark.parametrize("name", ["k19_unordered_keys"])
+def test_no_weights_where_none_are_asked_for(spark, lines, name):
+    assert plan(spark, lines, name).count("Join ") == 1
+
+
 def test_boxes_cross_beyond_the_first_ids(spark, tmp_path):
     rows = [(i, [0.037 * (i % 17) - 0.3, 0.041 * (i % 23) - 0.4]) for i in range(100, 160)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")

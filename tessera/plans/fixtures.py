@@ -102,7 +102,8 @@ def region_links(spark: SparkSession, sf_dir: str, parts: int | None = None, wei
     li = table(spark, sf_dir, "lineitem")
     some = li.select("l_orderkey", "l_suppkey")
     if weighted:
-        some = some.join(li.groupBy("l_suppkey").agg(F.avg("l_discount").alias("m")), "l_suppkey")
+        # By hash: the means of a task are few, its lines need no sort.
+        some = some.join(li.groupBy("l_suppkey").agg(F.avg("l_discount").alias("m")).hint("shuffle_hash"), "l_suppkey")
     some = some.repartition(parts or _parts(spark, sf_dir), "l_orderkey")
     end = lambda t, k, n: t.withColumnsRenamed({"l_suppkey": k, "m": n})
     # Repeated lines meet each other supplier of the order once, not each of its lines.

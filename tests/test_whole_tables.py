@@ -68,6 +68,12 @@ def test_no_weights_where_none_are_asked_for(spark, lines, name):
     assert plan(spark, lines, name).count("Join ") == 1
 
 
+@pytest.mark.parametrize("name", ["d09_isolated_regions"])
+def test_no_distinct_edges_where_repeats_change_nothing(spark, lines, name):
+    p = plan(spark, lines, name)
+    assert "Aggregate [src#" not in p.replace("Aggregate [src#", "one:", 1 if name[0] == "j" else 0) and "ByExpression [src#" not in p
+
+
 def test_boxes_cross_beyond_the_first_ids(spark, tmp_path):
     rows = [(i, [0.037 * (i % 17) - 0.3, 0.041 * (i % 23) - 0.4]) for i in range(100, 160)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")

@@ -74,6 +74,13 @@ def test_no_distinct_edges_where_repeats_change_nothing(spark, lines, name):
     assert "Aggregate [src#" not in p.replace("Aggregate [src#", "one:", 1 if name[0] == "j" else 0) and "ByExpression [src#" not in p
 
 
+def test_means_go_to_lines_not_to_edges(spark, lines):
+    """The edges are the last join."""
+    for name in ("h21_region_edges",):
+        joins = [x for x in plan(spark, lines, name).splitlines() if "Join " in x]
+        assert "l_orderkey" in joins[0] and "src#" in joins[0] and len(joins) == 3
+
+
 def test_boxes_cross_beyond_the_first_ids(spark, tmp_path):
     rows = [(i, [0.037 * (i % 17) - 0.3, 0.041 * (i % 23) - 0.4]) for i in range(100, 160)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")

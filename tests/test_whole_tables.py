@@ -76,7 +76,7 @@ def test_no_distinct_edges_where_repeats_change_nothing(spark, lines, name):
 
 def test_means_go_to_lines_not_to_edges(spark, lines):
     """The edges are the last join."""
-    for name in ("h21_region_edges",):
+    for name in ("h21_region_edges", "i03_lowest_bucket"):
         joins = [x for x in plan(spark, lines, name).splitlines() if "Join " in x]
         assert "l_orderkey" in joins[0] and "src#" in joins[0] and len(joins) == 3
 
